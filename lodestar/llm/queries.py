@@ -35,8 +35,43 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False).drop("ids")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.pii import detected, span_digests
+
+    return span_digests(detected(_table(spark, sf_dir, "documents")))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.chat import digests, formatted
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.sql("select -7L conv_id, cast(pos as bigint) turn, role, '</s>[INST] ok [/INST]' text from (select posexplode(array('user', 'assistant')) as (pos, role))")
+    return digests(formatted(turns.unionByName(hard)))
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.mixing import mixed
+
+    return mixed(_table(spark, sf_dir, "documents")).drop("row_hash")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.langid import fit_documents, held_out, identified
+
+    docs = _table(spark, sf_dir, "documents")
+    predicted = identified(docs.select("doc_id", "text"), fit_documents(docs))
+    return predicted.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.simhash import linked
+
+    return linked(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_huffman_ids, op5_packing)}
+    found = (op2_huffman_ids, op3_pii, op5_packing, op7_chat_format, op8_source_mix, op9_language_id, op10_simhash_dedup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
