@@ -21,6 +21,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.html import extracted
+
+    return extracted(_table(spark, sf_dir, "pages"))
+
+
 def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.huffman import read_encoded, write_encoded
 
@@ -70,7 +76,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_huffman_ids, op3_pii, op5_packing, op7_chat_format, op8_source_mix, op9_language_id, op10_simhash_dedup)
+    found = (op1_html_text, op2_huffman_ids, op3_pii, op5_packing, op7_chat_format, op8_source_mix, op9_language_id, op10_simhash_dedup)
     return {f.__name__: f for f in found}
 
 
