@@ -35,6 +35,12 @@ def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_encoded(spark, path, with_ids=False).drop("ids")
 
 
+def op4_cosine_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.packing import packed
 
@@ -47,6 +53,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(detected(_table(spark, sf_dir, "documents")))
 
 
+def op6_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestar.llm.mips import top_products
+
+    return top_products(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestar.llm.chat import digests, formatted
 
@@ -76,7 +88,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_text, op2_huffman_ids, op3_pii, op5_packing, op7_chat_format, op8_source_mix, op9_language_id, op10_simhash_dedup)
+    found = (op1_html_text, op2_huffman_ids, op3_pii, op4_cosine_lsh, op5_packing, op6_inner_products, op7_chat_format, op8_source_mix, op9_language_id, op10_simhash_dedup)
     return {f.__name__: f for f in found}
 
 
