@@ -11,7 +11,8 @@ the characters for which the split is certain, takes the library's own
 from __future__ import annotations
 
 import json
-import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -29,10 +30,12 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Words with a character from here on go to the library whole (combining marks start at U+0300).
 _SAFE_BELOW = "ɐ"
-#: White space to Python but not to the tokenizer's patterns.
+#: White space to Python but not to the tokenizer's patterns. Texts with these, or with the one letter that lower-cases to two characters, go whole.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
-#: Entries a word or piece table may hold before it starts afresh.
-TABLE_ENTRIES = 200_000
+#: Marks that are a piece of their own at the end of a word of letters.
+_MARKS = frozenset(",.;:!?")
+#: Entries that the table of words and pieces may hold before it starts afresh.
+TABLE_ENTRIES = 400_000
 #: Longer words are encoded each time.
 LONGEST_KEPT = 48
 
@@ -55,17 +58,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.dtype = id_type(self.tokenizer.get_vocab_size())
         self.exact_pieces = self._pieces_are_exact(spec)
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        odd = [re.escape(x) for x in self.added] + [f"[{_SEPARATORS}]"]
-        self.odd = re.compile("|".join(odd))
+        self.odd = (*self.added, *_SEPARATORS, "İ")
         self.pattern = regex.compile(_PATTERN)
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.known: dict[str, bytes] = {}
 
     @staticmethod
     def _pieces_are_exact(spec: dict) -> bool:
@@ -85,40 +88,48 @@ class Encoder:
             and steps[1].get("use_regex") is False
         )
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        made = array(self.code, ids)
+        if sys.byteorder == "big":
+            made.byteswap()
+        return made.tobytes()
+
+    def _keep(self, key: str, ids: bytes) -> bytes:
+        if len(key) <= LONGEST_KEPT:
+            if len(self.known) >= TABLE_ENTRIES:
+                self.known.clear()
+            self.known[key] = ids
+        return ids
+
     def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype=self.dtype).tobytes()
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
+        found = self.known.get(piece)
         if found is None:
-            spelled = piece if piece.isascii() and piece.isalnum() else "".join(map(self.letters.__getitem__, piece.encode()))
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], dtype=self.dtype).tobytes()
-            if len(piece) <= LONGEST_KEPT:
-                if len(self.pieces) >= TABLE_ENTRIES:
-                    self.pieces.clear()
-                self.pieces[piece] = found
+            spelled = piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode()))
+            found = self._keep(piece, self._bytes([t.id for t in self.model.tokenize(spelled)]))
         return found
 
     def _word(self, word: str) -> bytes:
-        if word.isascii() or max(word) < _SAFE_BELOW:
-            found = b"".join(map(self._piece, self.pattern.findall(word)))
-        else:
-            found = self.whole(word)
-        if len(word) <= LONGEST_KEPT:
-            if len(self.words) >= TABLE_ENTRIES:
-                self.words.clear()
-            self.words[word] = found
-        return found
+        """The ids of a word that isn't known: those of its pieces. A piece by itself is a word with the same ids."""
+        if not (word.isascii() or max(word) < _SAFE_BELOW):
+            return self._keep(word, self.whole(word))
+        if word.isalpha():
+            return self._piece(word)
+        body, last = word[:-1], word[-1]
+        pieces = (body, last) if body.isalpha() and last in _MARKS else self.pattern.findall(word)
+        return self._keep(word, b"".join(map(self._piece, pieces)))
 
     def text(self, text: str) -> bytes:
-        if not self.exact_pieces or self.odd.search(text):
+        if not self.exact_pieces or any(x in text for x in self.odd):
             return self.whole(text)
         # The library lower-cases letter by letter, Python minds the end of a word for one letter.
         words = text.replace("Σ", "σ").lower().split()
-        found = list(map(self.words.get, words))
+        found = list(map(self.known.get, words))
         if None in found:
-            found = [x if x is not None else self._word(w) for w, x in zip(words, found, strict=True)]
+            get, new = self.known.get, self._word
+            found = [x if x is not None else get(w) or new(w) for w, x in zip(words, found, strict=True)]
         return b"".join(found)
 
 
