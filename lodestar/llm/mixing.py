@@ -176,12 +176,13 @@ def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     outcome = mixed(docs, id_col, text_col, source_col)
     by_row = outcome.groupBy("row_hash").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count("*").alias("n"))
     by_row = Scratch(docs.sparkSession, "sampled").write(by_row.where("taken > 0"), "taken")
-    rows = docs.withColumn("row_hash", row_hash(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
+    text = F.col(f"`{text_col}`")
+    # The row goes along as one struct, so that its columns can have any names.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text.cast("string").alias("text"), row_hash(F.col(f"`{id_col}`"), text).alias("row_hash"))
     if not by_row.where("n > 1").isEmpty():
         rows = rows.dropDuplicates(["row_hash"])
-    text = F.col(f"`{text_col}`")
-    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.pmod("taken", "size").cast("int")), "")
-    copies = F.array_repeat(text, F.floor(F.col("taken") / F.col("size")).cast("int"))
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.pmod("taken", "size").cast("int")), "")
+    copies = F.array_repeat("text", F.floor(F.col("taken") / F.col("size")).cast("int"))
     copies = F.when(F.pmod("taken", "size") > 0, F.concat(copies, F.array(part))).otherwise(copies)
-    joined = rows.join(by_row.drop("n"), "row_hash")
-    return joined.withColumn("copy", F.explode(copies)).select(*[F.col("copy").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    joined = rows.join(by_row.drop("n"), "row_hash").withColumn("copy", F.explode(copies))
+    return joined.select(*[F.col("copy").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns])

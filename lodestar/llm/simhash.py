@@ -314,9 +314,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows_, labels = _grouped(docs, id_col, text_col, scratch)
     joined = rows_.join(labels, F.col("fp") == F.col("label_fp"))
     # The rows that go are the fewer; as a stored table their size is known when the join is planned.
-    gone = scratch.write(joined.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    gone = scratch.write(joined.where("doc_id <> component_id").select(F.col("doc_id").alias("_lodestar_gone")).distinct(), "gone")
     own = F.col(f"`{id_col}`")
-    kept = docs.where(own.isNotNull()).join(gone, own == F.col("gone_id"), "left_anti")
+    kept = docs.where(own.isNotNull()).join(gone, own == F.col("_lodestar_gone"), "left_anti")
     repeated = joined.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
     if not repeated.isEmpty():
         kept = kept.dropDuplicates([id_col])
@@ -329,9 +329,8 @@ def _nameless(docs: DataFrame, labels: DataFrame, text_col: str) -> DataFrame:
     """Of rows without an id, one for each component in which no row has one."""
     text = F.col(f"`{text_col}`")
     of_text = fingerprints(docs.select(text.alias("doc_id"), text.alias("text"))).distinct().join(labels, F.col("fp") == F.col("label_fp"))
-    chosen = of_text.groupBy("root").agg(F.min("doc_id").alias("chosen"), F.count("*").alias("n"))
-    one = docs.join(chosen, text.eqNullSafe(F.col("chosen")), "left_semi")
-    return one.dropDuplicates([text_col])
+    chosen = of_text.groupBy("root").agg(F.min("doc_id").alias("_lodestar_chosen")).select("_lodestar_chosen")
+    return docs.join(chosen, text.eqNullSafe(F.col("_lodestar_chosen")), "left_semi").dropDuplicates([text_col])
 
 
 __all__ = ["components", "deduplicated", "fingerprint", "fingerprints", "linked", "links"]
