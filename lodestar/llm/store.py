@@ -40,10 +40,20 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: Bytes of an Arrow batch between the JVM and Python.
+BATCH_BYTES = "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of the session by bytes: by rows alone, ten thousand long texts would make one batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 class Scratch:
     """A private subfolder of the shared folder; removed when Python exits or on ``drop``."""
 
     def __init__(self, spark: SparkSession, label: str):
+        bound_batches(spark)
         self.spark = spark
         self.path = f"{shared_root(spark).rstrip('/')}/lodestar-{label}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
