@@ -470,7 +470,7 @@ p AS MATERIALIZED (SELECT
     (SELECT count(*) FROM q)::BIGINT AS size, (SELECT count(*) FROM q) ** 0.25 * (SELECT s FROM spread) AS zeta, (SELECT sum(y * y) FROM late) AS const),
 """ + _frank_wolfe(200, 1e-3)
 
-_PERIODS = re.sub(r"\\b(p|st|fw)\\b", r"\\1_times", _DID_TIMES.removeprefix(_DID))
+_PERIODS = re.sub(r"\b(p|st|fw)\b", r"\1_times", _DID_TIMES.removeprefix(_DID))
 
 _DID_EFFECT = _DID_UNITS + "," + _PERIODS + """,
 x AS (SELECT t, (SELECT y FROM early WHERE early.t = q.t) - (SELECT sum(fw.w[i] * y) FROM d, fw WHERE d.t = q.t) AS gap FROM q)
