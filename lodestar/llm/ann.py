@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.neighbours import Best, dimension, distinct_vectors, ranked, vectors_of
-from lodestar.llm.store import Scratch, partitions, rows
+from lodestar.llm.neighbours import Best, dimension, distinct_vectors, merged, nearest_ids, ranked, vectors_of
+from lodestar.llm.store import Scratch, rows
 
 #: Vectors in a shard, tables counted, on average.
-SHARD = 40_000
+SHARD = 20_000
 
 
 @dataclass(frozen=True)
@@ -117,7 +117,7 @@ def _search(dtype: str, keep: int):
     """The search of one shard: members ``key, rep, vec, ids`` and queries ``query, vec, keys`` (null: all members)."""
 
     def run(members: pa.Table, queries: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, list] = ([], [])
         if members.num_rows and queries.num_rows:
             m = np.frombuffer(b"".join(members["vec"].to_pylist()), dtype=dtype).reshape(members.num_rows, -1).astype(np.float64)
             rep, ids = members["rep"].to_numpy(), members["ids"].to_pylist()
@@ -151,10 +151,9 @@ def _search(dtype: str, keep: int):
                     at = at[near >= np.partition(near, len(near) - keep)[len(near) - keep] - 1e-9]
                 best = Best(1, keep)
                 best.add(0, at, cosines(m[at], q))
-                for far, p in best.lists[0]:
-                    for o, x in zip(out, (query, ids[p], -far), strict=True):
-                        o.append(x)
-        return pa.table({"query": pa.array(out[0], pa.int64()), "ids": pa.array(out[1], pa.list_(pa.int64())), "score": pa.array(out[2], pa.float64())})
+                out[0].append(query)
+                out[1].append(nearest_ids(best.lists[0], ids, keep))
+        return pa.table({"query": pa.array(out[0], pa.int64()), "near": pa.array(out[1], pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())])))})
 
     return run
 
@@ -180,7 +179,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, settings: Settings
     n = distinct.count()
     settings = settings or Settings.for_size(n)
     hashing = Hashing(settings, max(d, 1))
-    shards = max(partitions(spark), -(-n * settings.tables // SHARD))
+    shards = max(1, -(-n * settings.tables // SHARD))
 
     def bucket(batches):
         for b in rows(batches, 4096):
@@ -221,18 +220,21 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, settings: Settings
                         o.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["shard", "query", "vec", "keys"])
 
-    found_kind = "query bigint, ids array<bigint>, score double"
+    found_kind = "query bigint, near array<struct<far:double,vec_id:bigint>>"
     asked = distinct.where("asked")
     members = distinct.select("rep", "vec", "ids").mapInArrow(deal, "shard int, key bigint, rep bigint, vec binary, ids array<bigint>")
     queries = asked.select("rep", "vec").mapInArrow(ask, "shard int, query bigint, vec binary, keys array<bigint>")
     search = _search(dtype, keep)
     found = scratch.write(members.groupBy("shard").cogroup(queries.groupBy("shard")).applyInArrow(search, found_kind), "found")
+    near = merged(found, keep)
 
-    counts = found.groupBy("query").agg(F.count_distinct(F.col("ids")[0]).alias("n"))
-    short = scratch.write(asked.join(counts, F.col("rep") == F.col("query"), "left").where(F.coalesce("n", F.lit(0)) < min(keep, n)).select(F.col("rep").alias("query"), "vec"), "short")
+    # Queries that found fewer ids than there are, or than are asked for.
+    there = distinct.select(F.size("ids").alias("n")).groupBy().agg(F.sum("n")).first()[0] or 0
+    full = near.where(F.size("near") >= min(keep, there)).select("query")
+    short = scratch.write(asked.select(F.col("rep").alias("query"), "vec").join(full, "query", "left_anti"), "short")
     if not short.isEmpty():
         shard = F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard")
         everything = distinct.select(shard, F.lit(0).cast("bigint").alias("key"), "rep", "vec", "ids")
         asking = short.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "query", "vec", F.lit(None).cast("array<bigint>").alias("keys"))
-        found = found.union(everything.groupBy("shard").cogroup(asking.groupBy("shard")).applyInArrow(search, found_kind))
-    return ranked(kept, distinct, found, every, k, scratch)
+        near = merged(found.union(everything.groupBy("shard").cogroup(asking.groupBy("shard")).applyInArrow(search, found_kind)), keep)
+    return ranked(kept, distinct, near, every, k, scratch)

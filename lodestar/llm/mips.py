@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.neighbours import Best, dimension, distinct_vectors, ranked, vectors_of
+from lodestar.llm.neighbours import Best, dimension, distinct_vectors, merged, nearest_ids, ranked, vectors_of
 from lodestar.llm.store import Scratch, partitions
 
 #: Vectors of a block and queries of a group, on average.
@@ -89,7 +89,7 @@ def dual_tree(data: np.ndarray, queries: np.ndarray, keep: int) -> list[list[tup
     Products are exact for integers: as doubles where no sum can exceed 2**53,
     else as 64-bit integers.
     """
-    size = max(np.abs(data).max(initial=0), 1) * max(np.abs(queries).max(initial=0), 1) * data.shape[1]
+    size = max(int(np.abs(data).max(initial=0)), 1) * max(int(np.abs(queries).max(initial=0)), 1) * data.shape[1]
     if float(size) >= 2.0**63:
         raise ValueError("inner products don't fit 64 bits")
     kind = np.float64 if float(size) < 2.0**53 else np.int64
@@ -160,18 +160,18 @@ def _whole(scale: float):
 
 def _search(keep: int):
     def run(members: pa.Table, queries: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, list] = ([], [])
         if members.num_rows and queries.num_rows:
             ids = members["ids"].to_pylist()
             order = sorted(range(len(ids)), key=lambda k: ids[k][0])
             vecs = members["vec"].to_pylist()
             data = np.frombuffer(b"".join([vecs[k] for k in order]), "<i4").reshape(len(order), -1).astype(np.int64)
             asked = np.frombuffer(b"".join(queries["vec"].to_pylist()), "<i4").reshape(queries.num_rows, -1).astype(np.int64)
+            ids = [ids[k] for k in order]
             for query, found in zip(queries["query"].to_pylist(), dual_tree(data, asked, keep), strict=True):
-                for far, place in found:
-                    for o, x in zip(out, (query, ids[order[place]], -int(far)), strict=True):
-                        o.append(x)
-        return pa.table({"query": pa.array(out[0], pa.int64()), "ids": pa.array(out[1], pa.list_(pa.int64())), "score": pa.array(out[2], pa.int64())})
+                out[0].append(query)
+                out[1].append(nearest_ids([(int(far), place) for far, place in found], ids, keep))
+        return pa.table({"query": pa.array(out[0], pa.int64()), "near": pa.array(out[1], pa.list_(pa.struct([("far", pa.int64()), ("vec_id", pa.int64())])))})
 
     return run
 
@@ -200,5 +200,5 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: float =
     members = distinct.select(deal(1, blocks).alias("block"), "vec", "ids").withColumn("group", every_of(groups))
     queries = distinct.where("asked").select(deal(2, groups).alias("group"), F.col("rep").alias("query"), "vec").withColumn("block", every_of(blocks))
     pairs = members.groupBy("block", "group").cogroup(queries.groupBy("block", "group"))
-    found = pairs.applyInArrow(_search(k + 1), "query bigint, ids array<bigint>, score bigint")
-    return ranked(kept, distinct, found, every, k, scratch)
+    found = pairs.applyInArrow(_search(k + 1), "query bigint, near array<struct<far:bigint,vec_id:bigint>>")
+    return ranked(kept, distinct, merged(found, k + 1), every, k, scratch)

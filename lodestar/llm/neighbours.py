@@ -72,11 +72,23 @@ def distinct_vectors(rows: DataFrame, every: int, keep: int, scratch: Scratch) -
     return scratch.write(grouped.select(F.monotonically_increasing_id().alias("rep"), "vec", "ids", "asked"), "distinct")
 
 
-def ranked(rows: DataFrame, distinct: DataFrame, found: DataFrame, every: int, k: int, scratch: Scratch) -> DataFrame:
-    """``query_id, rank, vec_id, score`` from ``found``: ``query`` (a rep), ``ids`` and ``score`` of vectors near it."""
-    one = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("far"), i.alias("vec_id")))
-    # Each part of the search sends its best few for a query, so what is collected for one is small.
-    near = found.groupBy("query").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(one)))), 1, k + 1).alias("near"))
+def nearest_ids(found: list[tuple], ids: list[list[int]], keep: int) -> list[dict]:
+    """The best ``keep`` ids of found vectors ``(-score, place)``, each of which stands for several ids."""
+    every = sorted((far, i) for far, place in found for i in ids[place])
+    return [{"far": far, "vec_id": i} for far, i in every[:keep]]
+
+
+def merged(found: DataFrame, keep: int) -> DataFrame:
+    """``query, near`` with the best ``keep`` of what each part of the search has found for a query.
+
+    A part sends one row for a query, with the few that it could contribute.
+    """
+    near = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, keep)
+    return found.groupBy("query").agg(near.alias("near"))
+
+
+def ranked(rows: DataFrame, distinct: DataFrame, near: DataFrame, every: int, k: int, scratch: Scratch) -> DataFrame:
+    """``query_id, rank, vec_id, score`` from ``query`` (a rep) and ``near``."""
     by_vector = scratch.write(near.join(distinct.select("rep", "vec"), F.col("query") == F.col("rep")).select(F.col("vec").alias("of_vec"), "near"), "near")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).distinct()
     joined = asked.join(by_vector, F.col("vec") == F.col("of_vec"))
