@@ -250,41 +250,45 @@ def text_of(root: Node, of_site: frozenset[int] = frozenset(), of_article: froze
     """Text of what remains, block by block.
 
     ``of_site`` are hashes to delete outside articles, ``of_article`` those to
-    delete inside as well.
+    delete inside as well. Where articles hold at least half of what remains,
+    the rest of the page is left out but for its main headline.
     """
-    blocks: list[str] = []
+    blocks: list[tuple[str, bool, bool]] = []
     run: list[str] = []
 
-    def end() -> None:
+    def end(inside: bool, headline: bool) -> None:
         if run:
             if t := clean("".join(run)):
-                blocks.append(t)
+                blocks.append((t, inside, headline))
             run.clear()
 
-    queue: list = [(root, False)]
+    queue: list = [(root, False, False)]
     while queue:
-        item, inside = queue.pop()
+        item, inside, headline = queue.pop()
         if item is None:
-            end()
+            end(inside, headline)
         elif isinstance(item, str):
             run.append(item)
         elif not item.dropped:
             if item.digest in (of_article if inside or item.article else of_site) and not item.article:
                 if item.name not in INLINE:
-                    end()
+                    end(inside, headline)
                 continue
             if item.name == "br":
                 run.append("\n")
                 continue
-            inside = inside or item.article
             if item.name not in INLINE:
-                end()
-                queue.append((None, inside))
-            queue += [(c, inside) for c in reversed(item.children)]
+                end(inside, headline)
+                inside, headline = inside or item.article, headline or item.name == "h1"
+                queue.append((None, inside, headline))
+            queue += [(c, inside, headline) for c in reversed(item.children)]
         elif item.name not in INLINE:
-            end()
-    end()
-    return " ".join(blocks)
+            end(inside, headline)
+    end(False, False)
+    of_articles = sum(len(t) for t, inside, _ in blocks if inside)
+    if 2 * of_articles >= sum(len(t) for t, _, _ in blocks):
+        blocks = [b for b in blocks if b[1] or b[2]] if of_articles else blocks
+    return " ".join(t for t, _, _ in blocks)
 
 
 def host_of(url: Column) -> Column:
