@@ -2,6 +2,7 @@
 
 from lodestar.operators.linear import linear_regression, linear_regression_by
 from lodestar.operators.logistic import logistic_regression
+from lodestar.operators.logistic_by import logistic_regression_by
 from lodestar.operators.results import LinearRegressionResult, LogisticRegressionResult, SyntheticControlResult, SyntheticDIDResult
 from lodestar.operators.sdid import synthetic_did
 from lodestar.operators.synthetic_control import synthetic_control
@@ -16,6 +17,7 @@ __all__ = [
     "linear_regression",
     "linear_regression_by",
     "logistic_regression",
+    "logistic_regression_by",
     "synthetic_control",
     "synthetic_did",
 ]

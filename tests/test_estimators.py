@@ -422,3 +422,21 @@ def test_linalg():
     m = np.array([[4.0, 1], [1, 3]])
     assert np.allclose(linalg.inverse(m), np.linalg.inv(m)) and np.allclose(linalg.unpacked(linalg.packed(m), 2), m)
     assert linalg.ill_conditioned(np.diag([1.0, 1e11])) and not linalg.ill_conditioned(m)
+
+
+def test_logistic_groups(spark):
+    g = np.random.default_rng(6)
+    k = np.repeat(["a", "b", "c", "d"], [150, 200, 40, 6])
+    x = g.normal(size=396)
+    d = (g.uniform(size=396) < 1 / (1 + np.exp(-x * (1 + (k == "b"))))).astype(float)
+    d[k == "c"] = 1.0
+    x[k == "d"], d[k == "d"] = [1, 2, 3, 4, 5, 6], [0, 0, 0, 1, 1, 1]
+    df = frame(spark, k=k, x=x, d=d)
+    rows = {r["k"]: r for r in lodestar.logistic_regression_by(df, "k", "x", "d").collect()}
+    for name in "ab":
+        want = lodestar.logistic_regression(df.where(df["k"] == name), "x", "d")
+        got = rows[name]
+        assert [got["intercept"], *got["coefficients"]] == pytest.approx([want.intercept, *want.coefficients], rel=1e-8)
+        assert [got["intercept_se"], *got["standard_errors"]] == pytest.approx([want.intercept_se, *want.standard_errors], rel=1e-6)
+        assert (got["n_samples"], got["iterations"]) == (want.n_samples, want.iterations) and got["pseudo_r_squared"] == pytest.approx(want.pseudo_r_squared)
+    assert "both 0 and 1" in rows["c"]["error"] and rows["c"]["coefficients"] is None and "separation" in rows["d"]["error"]
