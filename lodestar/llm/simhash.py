@@ -34,6 +34,8 @@ MOST_BITS = 2
 SEGMENTS = (22, 21, 21)
 #: Rows of a bucket up to which its task links them itself.
 BUCKET_ROWS = 20_000
+#: Edges up to which a round of stars is worked off by one task, without a shuffle.
+FEW_EDGES = 100_000
 #: Generator polynomial of the Golay code.
 _GENERATOR, _CHECK_BITS, _WORD_BITS = 0xC75, 11, 23
 
@@ -249,31 +251,27 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     but a count and a checksum.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, few: bool) -> DataFrame:
+        together = (lambda df: df.coalesce(1)) if few else (lambda df: df)
         if large:
-            near = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            near = together(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         else:
-            near = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+            near = together(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
         least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         joined = near.join(least, "a")
         moved = joined.where("b > a") if large else joined
         out = moved.select(F.col("b").alias("a"), F.col("m").alias("b"))
         if not large:
             out = out.union(least.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
+        return together(out.where("a <> b")).distinct()
 
     edges = scratch.write(edges.where("a <> b").distinct(), "edges0")
-    check, turn = None, 0
-    while True:
-        turn += 1
-        edges = scratch.write(star(star(edges, True), False), f"edges{turn}")
-        if edges.isEmpty():
-            break
+    now, check, turn = (edges.count(), None), None, 0
+    while now[0] and now != check:
+        check, few, turn = now, now[0] <= FEW_EDGES, turn + 1
+        edges = scratch.write(star(star(edges, True, few), False, few), f"edges{turn}")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         scratch.drop(f"edges{turn - 1}")
-        if now == check:
-            break
-        check = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
