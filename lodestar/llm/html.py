@@ -297,12 +297,6 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(host, F.lit("")))
 
 
-def _different(contents: Column, n: Column) -> Column:
-    """How many different contents there are, from a bitmap of 64 hash values, by linear counting; ``n`` where that is full."""
-    bits = F.bit_count(contents)
-    return F.when(bits >= 48, n).otherwise(F.least(n, F.round(-64 * F.log(1 - bits / 64.0)).cast("bigint")))
-
-
 def templates(pages: DataFrame) -> DataFrame:
     """``of_host, of_site, of_article``: the subtree hashes of each host's template, from rows ``host, html``.
 
@@ -320,12 +314,13 @@ def templates(pages: DataFrame) -> DataFrame:
                 hosts += [host] * (len(found) + 1)
                 hashes += [0, *found]
                 inside += [False, *found.values()]
-                contents += [1 << (xxhash.xxh64_intdigest(text_of(root)) & 63)] * (len(found) + 1)
+                contents += [xxhash.xxh64_intdigest(text_of(root))] * (len(found) + 1)
             yield batch(pa.schema([("host", pa.int64()), ("hash", pa.int64()), ("inside", pa.bool_()), ("content", pa.int64())]), hosts, np.array(hashes, np.uint64).view(np.int64), inside, np.array(contents, np.uint64).view(np.int64))
 
     seen = pages.where("html is not null").select("host", "html").mapInArrow(count, "host bigint, hash bigint, inside boolean, content bigint")
-    counted = seen.groupBy("host", "hash").agg(F.count("*").alias("n"), F.bool_and("inside").alias("inside"), F.bit_or("content").alias("contents"))
-    counted = counted.select("host", "hash", "inside", _different(F.col("contents"), F.col("n")).alias("n")).where(f"n >= {LEAST_PAGES} or hash = 0")
+    # Copies come together first, over keys as many as there are contents, so that a large host's subtrees are dealt out.
+    different = seen.groupBy("host", "hash", "content").agg(F.bool_and("inside").alias("inside"))
+    counted = different.groupBy("host", "hash").agg(F.count("*").alias("n"), F.bool_and("inside").alias("inside")).where(f"n >= {LEAST_PAGES} or hash = 0")
     stored = Scratch(pages.sparkSession, "templates").write(counted, "counts")
     sizes = stored.where("hash = 0").select(F.col("host").alias("of_host"), F.col("n").alias("pages"))
     often = stored.where("hash <> 0").join(sizes, F.col("host") == F.col("of_host")).where(F.col("n") >= F.col("pages") * LEAST_SHARE)

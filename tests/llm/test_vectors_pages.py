@@ -199,6 +199,17 @@ def test_templates_are_found_by_host(spark):
     assert html.extracted(pages.limit(0)).collect() == []
 
 
+def test_copies_count_once_on_large_hosts(spark):
+    """The share that a template needs is of the host's different pages, however many copies there are."""
+    page = lambda k: f"<body>{'<div>a note of the site</div>' if k < 60 else ''}<article><p>story {k}</p></article></body>"
+    rows = [(k, f"http://a.example.com/{k}", page(k)) for k in range(150)]
+    rows += [(150 + k, f"http://a.example.com/{k}", "<body><article><p>one page and its copies</p></article></body>") for k in range(3000)]
+    got = {r["page_id"]: r["text"] for r in html.extracted(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert len(got) == 3150 and all(got[k] == f"story {k}" for k in range(150))
+    (host,) = html.templates(spark.createDataFrame([(1, h) for _, _, h in rows], "host bigint, html string")).collect()
+    assert len(host["of_site"]) == 1
+
+
 # Registered queries
 
 
