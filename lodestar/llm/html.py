@@ -5,7 +5,10 @@ text). A subtree that recurs on many pages of a host belongs to the site and
 not to the page, so it is deleted: Spark counts, for each host, on how many
 different pages a hash occurs, and each page is then read again without the
 subtrees whose hashes are in its host's set. What a page's author marks as the
-article needs far stronger evidence than what stands around it.
+article needs far stronger evidence than what stands around it. On a page
+without such a mark, the box that holds most of its text and its main headline
+are taken as marked: near copies share their paragraphs, and pages may quote one
+passage, so a few recurrences there prove nothing.
 
 Elements that are never part of an article by their name, role or class
 (menus, forms, scripts, adverts, readers' comments, ...) go as well, wherever
@@ -43,6 +46,8 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe svg canvas object embed audio video map button select option textarea dialog menu title xmp noembed noframes input".split())
 ARTICLE = frozenset(("article", "main"))
+#: Elements that a page is laid out with.
+BOXES = frozenset("html body div section center table tbody tr td fieldset details".split())
 #: An end tag that may be left out: a start tag of the second kind ends an open element of the first.
 IMPLIED = {
     "li": frozenset(("li",)),
@@ -86,7 +91,10 @@ class Node:
     children: list = field(default_factory=list)
     digest: int = 0
     size: int = 0
+    live: int = 0
     holds: bool = False
+    headed: bool = False
+    body: bool = False
 
 
 def _marks(attributes: str) -> tuple[str, bool, bool]:
@@ -208,12 +216,12 @@ def digest(root: Node) -> None:
     largest = None
     for node in reversed(order):
         h = xxhash.xxh64(f"{node.name}\0{node.marks}")
-        node.holds = node.article
+        node.holds, node.headed = node.article, node.name == "h1"
         for c in node.children:
             if isinstance(c, Node):
                 h.update(c.digest.to_bytes(8, "little"))
                 node.size += c.size
-                node.holds = node.holds or c.holds
+                node.holds, node.headed = node.holds or c.holds, node.headed or c.headed
             elif t := clean(c):
                 h.update(t)
                 h.update(b"\0")
@@ -225,32 +233,61 @@ def digest(root: Node) -> None:
         if largest.told:
             largest.dropped = False
         largest = largest.parent
+    for node in reversed(order):
+        node.live = 0 if node.dropped else sum(c.live if isinstance(c, Node) else len(clean(c)) for c in node.children)
+    _mark_body(root)
+
+
+def _blocks(node: Node) -> list[Node]:
+    """Children with text to keep that aren't part of a line."""
+    return [c for c in node.children if isinstance(c, Node) and c.live and c.name not in INLINE]
+
+
+def _mark_body(root: Node) -> None:
+    """Mark the smallest box that holds most of the page's text, unless it holds or lies in what is marked as the article.
+
+    A single paragraph, or one of several boxes of the same class, isn't the
+    body but a part of it.
+    """
+    node, path = root, []
+    while inner := [c for c in _blocks(node) if c.name in BOXES and 2 * c.live > root.live]:
+        path.append(node)
+        node = inner[0]
+    while path and (not _blocks(node) or node.marks and any(c is not node and (c.name, c.marks) == (node.name, node.marks) for c in _blocks(path[-1]))):
+        node = path.pop()
+    if node.live and not (node.holds or node.inside):
+        for x in [*path, node]:
+            x.body = True
 
 
 def subtrees(root: Node) -> dict[int, bool]:
     """Hashes of a page's subtrees that have text of their own to lose, and whether all that have one lie in an article.
 
-    Subtrees that go by name or class aren't counted, nor is what holds an
-    article, since a page's article can't belong to its site's template.
+    What holds most of the text of a page without a marked article, and the
+    main headline of such a page, count as its article. Subtrees that go by
+    name or class aren't counted, nor is what holds an article, since a page's
+    article can't belong to its site's template.
     """
     found: dict[int, bool] = {}
     queue = [(root, False)]
     while queue:
         node, inside = queue.pop()
-        inside = inside or node.article
+        # Below the innermost box that is marked as the body, everything is inside.
+        inside = inside or node.article or node.body and not any(isinstance(c, Node) and c.body for c in node.children)
         for c in node.children:
             if isinstance(c, Node) and not c.dropped:
-                queue.append((c, inside))
-                if c.name not in VOID and c.name not in ("html", "body") and not c.holds and c.size:
-                    found[c.digest] = found.get(c.digest, True) and inside
+                within = inside or c.headed and not root.holds
+                queue.append((c, inside or c.name == "h1" and not root.holds))
+                if c.name not in VOID and c.name not in ("html", "body") and not (c.holds or c.body) and c.size:
+                    found[c.digest] = found.get(c.digest, True) and within
     return found
 
 
 def text_of(root: Node, of_site: frozenset[int] = frozenset(), of_article: frozenset[int] = frozenset()) -> str:
     """Text of what remains, block by block.
 
-    ``of_site`` are hashes to delete outside articles, ``of_article`` those to
-    delete inside as well. Where articles hold at least half of what remains,
+    ``of_site`` are hashes to delete outside marked articles, ``of_article``
+    those to delete everywhere. Where articles hold at least half of what remains,
     the rest of the page is left out but for its main headline.
     """
     blocks: list[tuple[str, bool, bool]] = []
@@ -270,7 +307,7 @@ def text_of(root: Node, of_site: frozenset[int] = frozenset(), of_article: froze
         elif isinstance(item, str):
             run.append(item)
         elif not item.dropped:
-            if item.digest in (of_article if inside or item.article else of_site) and not item.article:
+            if not item.article and (item.digest in of_article or not inside and item.digest in of_site):
                 if item.name not in INLINE:
                     end(inside, headline)
                 continue
@@ -301,7 +338,8 @@ def templates(pages: DataFrame) -> DataFrame:
     """``of_host, of_site, of_article``: the subtree hashes of each host's template, from rows ``host, html``.
 
     ``host`` is a hash of the host. A subtree has to be on pages of different
-    content: copies of a page don't make its text a template.
+    content: copies of a page don't make its text a template. For ``of_site``
+    only the pages count on which it isn't in an article.
     """
 
     def count(batches):
@@ -320,13 +358,14 @@ def templates(pages: DataFrame) -> DataFrame:
     seen = pages.where("html is not null").select("host", "html").mapInArrow(count, "host bigint, hash bigint, inside boolean, content bigint")
     # Copies come together first, over keys as many as there are contents, so that a large host's subtrees are dealt out.
     different = seen.groupBy("host", "hash", "content").agg(F.bool_and("inside").alias("inside"))
-    counted = different.groupBy("host", "hash").agg(F.count("*").alias("n"), F.bool_and("inside").alias("inside")).where(f"n >= {LEAST_PAGES} or hash = 0")
+    counted = different.groupBy("host", "hash").agg(F.count("*").alias("n"), F.count_if(~F.col("inside")).alias("outside")).where(f"n >= {LEAST_PAGES} or hash = 0")
     stored = Scratch(pages.sparkSession, "templates").write(counted, "counts")
     sizes = stored.where("hash = 0").select(F.col("host").alias("of_host"), F.col("n").alias("pages"))
     often = stored.where("hash <> 0").join(sizes, F.col("host") == F.col("of_host")).where(F.col("n") >= F.col("pages") * LEAST_SHARE)
+    around = (F.col("outside") >= LEAST_PAGES) & (F.col("outside") >= F.col("pages") * LEAST_SHARE)
     everywhere = (F.col("n") >= ARTICLE_PAGES) & (F.col("n") >= F.col("pages") * ARTICLE_SHARE)
     return often.groupBy("of_host").agg(
-        F.collect_list(F.when(~F.col("inside"), F.col("hash"))).alias("of_site"),
+        F.collect_list(F.when(around, F.col("hash"))).alias("of_site"),
         F.collect_list(F.when(everywhere, F.col("hash"))).alias("of_article"),
     )
 

@@ -210,6 +210,33 @@ def test_copies_count_once_on_large_hosts(spark):
     assert len(host["of_site"]) == 1
 
 
+def site(spark, pages):
+    """Texts of one host's pages."""
+    rows = [(k, f"http://a.example.com/{k}", page) for k, page in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in html.extracted(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    return [got[k] for k in range(len(pages))]
+
+
+def test_near_copies_and_quotes_on_pages_without_article(spark):
+    rnd = random.Random(2)
+    words = lambda n: " ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(n))
+    around = lambda title, body: f"<body><div class='top'>Site of plenty</div><div class='head'><h1>{title}</h1></div><div class='text'>{body}</div><div class='end'>All rights reserved</div></body>"
+    parts = lambda x: "".join(f"<p>{p}</p>" for p in x)
+    copied, quote = [words(20) for _ in range(5)], words(20)
+    bodies, titles = [], []
+    for k in range(40):
+        edited = [p if n != k % 5 else p + f" edit{k}" for n, p in enumerate(copied)]
+        bodies.append(edited if k < 3 else [words(30), quote, words(30)] if k < 6 else [words(40), words(10)])
+        titles.append("One story" if k < 3 else f"T{k}")
+    want = [f"{t} {' '.join(b)}" for t, b in zip(titles, bodies, strict=True)]
+    assert site(spark, [around(t, parts(b)) for t, b in zip(titles, bodies, strict=True)]) == want
+    # Three near copies are all there is of a host, boxes instead of paragraphs, and sections of which none holds most of the text.
+    assert site(spark, [f"<div>{parts(b)}</div>" for b in bodies[:3]]) == [" ".join(b) for b in bodies[:3]]
+    boxes = ["".join(f"<div class='p'><p>{p}</p></div>" for p in b) for b in bodies[:6]]
+    assert site(spark, [f"<body>{b}</body>" for b in boxes]) == [" ".join(b) for b in bodies[:6]]
+    assert site(spark, [f"<body><section>{parts(b[:2])}</section><section>{parts(b[2:])}</section></body>" for b in bodies[:3]]) == [" ".join(b) for b in bodies[:3]]
+
+
 # Registered queries
 
 
