@@ -12,7 +12,8 @@ passage, so a few recurrences there prove nothing.
 
 Elements that are never part of an article by their name, role or class
 (menus, forms, scripts, adverts, readers' comments, ...) go as well, wherever
-they occur, since their content may differ from page to page.
+they occur, since their content may differ from page to page. A class or id
+tells that only as a whole, and not of most of the text of a page or its articles.
 
 Only hashes are counted and only hosts' sets are joined with pages. A set is
 bounded: a hash has to be on a share of at least ``LEAST_SHARE`` of a host's
@@ -22,6 +23,7 @@ subtrees of its pages.
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 from collections import Counter
@@ -74,7 +76,6 @@ HEADERS = frozenset(("header", "hgroup"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_WORDS = re.compile(r"[a-z]+")
 
 
 @dataclass(slots=True)
@@ -108,8 +109,7 @@ def _marks(attributes: str) -> tuple[str, bool, bool]:
             role = value.lower()
         elif name == "hidden" or name == "style" and "display:none" in value.replace(" ", "").lower():
             hidden = True
-    words = _WORDS.findall(marks)
-    return marks, role in ROLES or not CLASSES.isdisjoint(words), hidden
+    return marks, role in ROLES or not CLASSES.isdisjoint(marks.split()), hidden
 
 
 class _Open(list):
@@ -192,7 +192,7 @@ def _element(name: str, attributes: str, parent: Node) -> Node:
     inside = parent.inside or parent.article
     marks, told, hidden = _marks(attributes) if attributes else ("", False, False)
     article = name in ARTICLE or "main" in attributes and re.search(r"role=[\"']?main\b", attributes) is not None
-    told = (told or not inside and "header" in _WORDS.findall(marks)) and name not in ("html", "body")
+    told = (told or not inside and "header" in marks.split()) and name not in ("html", "body")
     dropped = name in DROPPED or hidden or name in HEADERS and not inside
     return Node(name, marks, dropped or told, article and not (dropped or told), told and not dropped, inside, parent)
 
@@ -206,7 +206,8 @@ def digest(root: Node) -> None:
     """Set hashes, sizes and what holds an article, from the leaves up, without recursion.
 
     An element that goes by its class stays after all if it holds the page's
-    largest article: then the class speaks of the layout.
+    largest article, and so do the elements that go by their classes if they
+    hold most of the text of the page or of its articles: then the class speaks of the layout.
     """
     order, queue = [], [root]
     while queue:
@@ -233,11 +234,56 @@ def digest(root: Node) -> None:
         if largest.told:
             largest.dropped = False
         largest = largest.parent
+    _keep_most(root, order)
     for node in reversed(order):
         node.live = 0 if node.dropped else sum(c.live if isinstance(c, Node) else len(clean(c)) for c in node.children)
     _mark_body(root)
 
 
+def _keep_most(root: Node, order: list[Node]) -> None:
+    """Keep what goes by its class, the largest first, until what still goes so is at most half of the text.
+
+    Where a page has a marked article with text, this holds within its
+    articles: next to one, a class tells of a text of any size.
+    """
+    if not any(node.told and node.dropped for node in order):
+        return
+    # Text that stays if classes tell nothing; inner elements come first.
+    text: dict[int, int] = {}
+    for node in reversed(order):
+        text[id(node)] = 0 if node.dropped and not node.told else sum(text[id(c)] if isinstance(c, Node) else len(clean(c)) for c in node.children)
+    place = {id(node): n for n, node in enumerate(order)}
+    going: list[tuple[int, int, Node]] = []  # largest first
+
+    def fall(queue: list) -> int:
+        """What goes by its class below ``queue`` joins ``going``; its text."""
+        more = 0
+        while queue:
+            node = queue.pop()
+            if not isinstance(node, Node) or node.dropped and not node.told:
+                continue
+            if node.dropped:
+                heapq.heappush(going, (-text[id(node)], place[id(node)], node))
+                more += text[id(node)]
+            else:
+                queue += node.children
+        return more
+
+    articles, queue = [], [root]
+    while queue:
+        node = queue.pop()
+        if node.article:
+            articles.append(node)
+        elif not node.dropped:
+            queue += [c for c in node.children if isinstance(c, Node)]
+    starts = articles if any(text[id(x)] for x in articles) else [root]
+    total, lost = sum(text[id(x)] for x in starts), fall(list(starts))
+    while 2 * lost > total:
+        node = heapq.heappop(going)[2]
+        node.dropped = False
+        lost += fall(list(node.children)) - text[id(node)]
+
+
 def _blocks(node: Node) -> list[Node]:
     """Children with text to keep that aren't part of a line."""
     return [c for c in node.children if isinstance(c, Node) and c.live and c.name not in INLINE]

@@ -237,6 +237,29 @@ def test_near_copies_and_quotes_on_pages_without_article(spark):
     assert site(spark, [f"<body><section>{parts(b[:2])}</section><section>{parts(b[2:])}</section></body>" for b in bodies[:3]]) == [" ".join(b) for b in bodies[:3]]
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p>a</p><section id='related-work'><p>b</p></section><div class='social-policy'>c</div><p>d</p></article>", "a b c d"),
+        ("<div class='content has-sidebar'><p>the body</p></div>", "the body"),
+        ("<div class='notice main-text'><p>the whole body</p><div class='ad'>x</div></div>", "the whole body"),
+        ("<p>ab</p><div class='widget'>c</div><div class='widget'>the body goes on in here</div>", "ab the body goes on in here"),
+        ("<p>a</p><div class='widget'>bb</div><div class='widget'>ccc</div><div class='promo'>dd</div>", "a ccc"),
+        ("<div class='sidebar'><nav>a long list of places to go</nav>s</div><p>pp</p>", "pp"),
+        ("<div class='ad'>more than the article</div><article><p>short</p><div class='ad'>x</div></article>", "short"),
+        ("<article><h1>T</h1><div class='widget'>most of the article</div></article>", "T most of the article"),
+        ("<p>a paragraph</p><div class='Share box'>Share</div><div id='comments'>x</div>", "a paragraph"),
+    ],
+)
+def test_classes_do_not_take_most_of_a_page(page, want):
+    assert text(page) == want
+
+
+@pytest.mark.parametrize("page", ["<p>a long enough text</p>" + "<div class='ad'>" * 20_000 + "x", "<div class='ad'>" * 20_000 + "x", "<div class='ad'>x</div>" * 20_000])
+def test_many_marked_elements(page):
+    text(page)
+
+
 # Registered queries
 
 
