@@ -329,12 +329,13 @@ def subtrees(root: Node) -> dict[int, bool]:
     return found
 
 
-def text_of(root: Node, of_site: frozenset[int] = frozenset(), of_article: frozenset[int] = frozenset()) -> str:
+def text_of(root: Node, of_site: frozenset[int] = frozenset(), of_article: frozenset[int] = frozenset(), counted: bool = False) -> str:
     """Text of what remains, block by block.
 
     ``of_site`` are hashes to delete outside marked articles, ``of_article``
-    those to delete everywhere. Where articles hold at least half of what remains,
-    the rest of the page is left out but for its main headline.
+    those to delete everywhere. Only where a page's site isn't ``counted``, the
+    marks decide alone: if articles hold at least half of what remains, the
+    rest of the page is left out but for its main headline.
     """
     blocks: list[tuple[str, bool, bool]] = []
     run: list[str] = []
@@ -369,7 +370,7 @@ def text_of(root: Node, of_site: frozenset[int] = frozenset(), of_article: froze
             end(inside, headline)
     end(False, False)
     of_articles = sum(len(t) for t, inside, _ in blocks if inside)
-    if 2 * of_articles >= sum(len(t) for t, _, _ in blocks):
+    if not counted and 2 * of_articles >= sum(len(t) for t, _, _ in blocks):
         blocks = [b for b in blocks if b[1] or b[2]] if of_articles else blocks
     return " ".join(t for t, _, _ in blocks)
 
@@ -419,7 +420,9 @@ def templates(pages: DataFrame) -> DataFrame:
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages``.
 
-    ``text`` has the page's blocks in order, joined by one space; it is empty
+    ``text`` has the page's blocks in order, joined by one space, inside and
+    outside of articles: nothing goes but by its name, class or role, or
+    because it recurs on its host. It is empty
     for null and empty pages and for pages without text. A page whose address
     is null or has no host belongs to no site, so nothing of it is a template.
     Null ids and repeated rows pass through row by row, other columns are not
@@ -447,7 +450,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                     sets[host_] = tuple(frozenset(x & mask for x in b.column(c)[k].as_py() or ()) for c in (4, 5))
                 if page:
                     digest(root := parse(page))
-                    texts.append(text_of(root, *sets[host_]))
+                    texts.append(text_of(root, *sets[host_], counted=True))
                 else:
                     texts.append("")
             yield batch(pa.schema([("page_id", b.schema.field(0).type), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())]), b.column(0), b.column(1), texts, list(map(len, texts)))

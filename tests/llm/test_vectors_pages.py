@@ -260,6 +260,12 @@ def test_many_marked_elements(page):
     text(page)
 
 
+def test_counts_decide_outside_articles(spark):
+    pages = [f"<div>Site of plenty</div><h1>T{k}</h1><article><p>the first and longer part of story {k}</p></article><div><p>and so story {k} runs on</p></div><div>All rights reserved</div>" for k in range(5)]
+    assert site(spark, pages) == [f"T{k} the first and longer part of story {k} and so story {k} runs on" for k in range(5)]
+    assert site(spark, pages[:1]) == ["Site of plenty T0 the first and longer part of story 0 and so story 0 runs on All rights reserved"]
+
+
 # Registered queries
 
 
