@@ -305,7 +305,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component: that of its smallest id.
 
-    Of several rows with that id one stays. Rows with a null id stay only if
+    Of several rows of the component with that id one stays; an id that is
+    repeated with different texts stays once for each component whose smallest
+    it is. Rows with a null id stay only if
     no row of their component has an id, and then one of them does.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
@@ -315,14 +317,30 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gone = scratch.write(joined.where("doc_id <> component_id").select(F.col("doc_id").alias("_lodestar_gone")).distinct(), "gone")
     own = F.col(f"`{id_col}`")
     kept = docs.where(own.isNotNull()).join(gone, own == F.col("_lodestar_gone"), "left_anti")
-    repeated = joined.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    if not repeated.isEmpty():
+    winners = joined.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("root").alias("first"), F.max("root").alias("last"))
+    # Ids that stay for one text and go, or stay once more, for another.
+    also_gone = winners.join(gone, F.col("doc_id") == F.col("_lodestar_gone"), "left_semi")
+    clashing = scratch.write(winners.where("first <> last").unionByName(also_gone).select(F.col("doc_id").alias("_lodestar_clash")).distinct(), "clashing")
+    if not clashing.isEmpty():
+        kept = kept.join(clashing, own == F.col("_lodestar_clash"), "left_anti")
+    if not winners.where("n > 1").isEmpty():
         kept = kept.dropDuplicates([id_col])
+    if not clashing.isEmpty():
+        kept = kept.unionByName(_by_text(docs.join(clashing, own == F.col("_lodestar_clash"), "left_semi"), labels, id_col, text_col))
     if not rows_.where("doc_id is null").isEmpty():
         kept = kept.unionByName(_nameless(docs.where(own.isNull()), labels.where("component_id is null"), text_col))
     return kept
 
 
+def _by_text(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of rows with ids that are repeated, one for each component whose smallest id is theirs."""
+    text = F.col(f"`{text_col}`")
+    of_text = fingerprints(docs.select(text.alias("doc_id"), text.alias("text"))).distinct().join(labels, F.col("fp") == F.col("label_fp"))
+    of_text = of_text.select(F.col("doc_id").alias("_lodestar_text"), F.col("root").alias("_lodestar_root"), F.col("component_id").alias("_lodestar_component"))
+    found = docs.join(of_text, text.eqNullSafe(F.col("_lodestar_text")) & (F.col(f"`{id_col}`") == F.col("_lodestar_component")))
+    return found.dropDuplicates([id_col, "_lodestar_root"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def _nameless(docs: DataFrame, labels: DataFrame, text_col: str) -> DataFrame:
     """Of rows without an id, one for each component in which no row has one."""
     text = F.col(f"`{text_col}`")

@@ -202,6 +202,15 @@ def test_deduplicated_rows(docs):
     assert set(ids) == best and set(ids.values()) == {1}  # with the one component that has no id at all
 
 
+def test_repeated_ids_with_different_texts(spark):
+    """Each component keeps one row, whatever else has its smallest id."""
+    a, b, c = ("The quick brown fox jumps over the lazy dog", "Rain fell on the harbour all through the night", "A third text that has nothing to do with them")
+    table = spark.createDataFrame([(3, a, 1), (5, a, 2), (5, b, 3), (7, b, 4), (5, b, 5), (9, c, 6), (9, "", 7), (9, None, 8), (10, c, 9)], "doc_id bigint, text string, root int").repartition(3)
+    kept = simhash.deduplicated(table)
+    assert kept.columns == table.columns
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == sorted([(3, a), (5, b), (9, c), (9, "")])
+
+
 # Chat
 
 
