@@ -166,14 +166,20 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return each.select("m.doc_id", "m.size", "source_size", "target", (F.col("m.whole") * F.col("m.size") + extra).cast("bigint").alias("taken"), "m.row_hash")
 
 
-def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken.
 
     The one document of a source that is taken in part comes with its first
-    words only, with the white space between them as it was. Documents without
+    words only, with the white space between them as it was; if texts
+    have to stay ``whole``, it is taken or left instead, by a hash, with the
+    probability of that part. Documents without
     words aren't in the mix.
     """
     outcome = mixed(docs, id_col, text_col, source_col)
+    if whole:
+        chance = F.pmod(F.xxhash64("row_hash", F.lit("whole")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+        part = F.pmod("taken", "size")
+        outcome = outcome.withColumn("taken", F.when(part > 0, F.col("taken") - part + F.when(chance * F.col("size") < part, F.col("size")).otherwise(F.lit(0))).otherwise(F.col("taken")))
     by_row = outcome.groupBy("row_hash").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count("*").alias("n"))
     by_row = Scratch(docs.sparkSession, "sampled").write(by_row.where("taken > 0"), "taken")
     text = F.col(f"`{text_col}`")

@@ -305,6 +305,20 @@ def test_expected_copies_are_kept(spark):
         assert np.mean([r["taken"] / r["size"] for r in some]) == pytest.approx(share, abs=0.05)
 
 
+def test_whole_texts_of_the_mix(spark):
+    rows = [(k, " ".join(f"w{k}x{n}" for n in range(20)), f"s{k}") for k in range(300)] + [(300 + k, "v " * 19 + f"v{k}", "large") for k in range(20)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    texts = {k: t for k, t, _ in rows}
+    got = mixing.sampled(table, whole=True).collect()
+    assert all(r["text"] == texts[r["doc_id"]] for r in got)
+    counts = Counter(r["doc_id"] for r in got)
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mixed(table).collect()}
+    cut = [k for k, n in taken.items() if n % 20]
+    assert len(cut) > 100 and all(taken[k] // 20 <= counts[k] <= -(-taken[k] // 20) for k in texts)
+    # Within four standard deviations at most.
+    assert sum(counts[k] * 20 for k in cut) == pytest.approx(sum(taken[k] for k in cut), abs=4 * 10 * len(cut) ** 0.5)
+
+
 def test_mix_of_awkward_rows(docs):
     got = mixing.mixed(docs).collect()
     assert len(got) == docs.count()
