@@ -10,7 +10,8 @@ ranked by the exact cosine of the original vectors.
 
 Buckets are dealt to shards, and a query is sent once to each shard with the
 buckets that it wants to see there. A bucket with a large part of the vectors
-is dealt to several shards by a hash of the vector.
+is dealt to several shards by a hash of the vector. A shard's queries go by its
+vectors in groups.
 """
 
 from __future__ import annotations
@@ -22,32 +23,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.neighbours import Best, dimension, distinct_vectors, merged, nearest_ids, ranked, vectors_of
-from lodestar.llm.store import Scratch, rows
+from lodestar.llm.neighbours import Best, dimension, distinct_vectors, merged, nearest_ids, ranked, vectors_of, walked
+from lodestar.llm.store import Scratch, partitions, rows
 
 #: Vectors in a shard, tables counted, on average.
 SHARD = 20_000
+#: Queries of a shard that are worked off at once.
+GROUP = 1000
 
 
 @dataclass(frozen=True)
 class Settings:
     """``tables`` of ``functions`` projections with slots of ``width``; ``probes`` buckets for each table."""
 
-    tables: int = 10
-    functions: int = 8
-    width: float = 1.5
-    probes: int = 600
+    tables: int = 20
+    functions: int = 14
+    width: float = 2.5
+    probes: int = 300
     seed: int = 7
 
     @staticmethod
     def for_size(n: int) -> Settings:
-        """Settings for ``n`` vectors: one more function and 1.6 times the probes for each factor of four beyond 100,000.
+        """Settings for ``n`` vectors: one more function and a hundred more probes for each factor of eight beyond 20,000.
 
-        The share of vectors visited falls with the number of vectors while a
-        table's buckets stay of a similar size.
+        The more vectors there are the closer are a query's nearest, and the
+        more functions tell these from the others. The README has recall and
+        the share of vectors visited up to a million.
         """
-        more = max(0, int(np.ceil(np.log2(max(n, 1) / 100_000) / 2)))
-        return Settings(functions=8 + more, probes=int(600 * 1.6**more))
+        more = max(0, int(np.ceil(np.log2(max(n, 1) / 20_000) / 3)))
+        return Settings(functions=14 + more, probes=300 + 100 * more)
 
 
 class Hashing:
@@ -95,14 +99,27 @@ def _shard(keys: np.ndarray, chunk: np.ndarray | int, shards: int) -> np.ndarray
     return ((h >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
 
 
+def scaled(m: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component to between 0.5 and 1: exact, and squares stay in range."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])
+
+
+def _vectors(raw: list[bytes], dtype: str) -> np.ndarray:
+    return scaled(np.frombuffer(b"".join(raw), dtype=dtype).reshape(len(raw), -1).astype(np.float64))
+
+
+def _lengths(m: np.ndarray) -> np.ndarray:
+    return np.sqrt((m * m).sum(axis=1))
+
+
 def _units(raw: list[bytes], dtype: str) -> np.ndarray:
-    m = np.frombuffer(b"".join(raw), dtype=dtype).reshape(len(raw), -1).astype(np.float64)
-    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+    m = _vectors(raw, dtype)
+    return m / _lengths(m)[:, None]
 
 
 def cosines(candidates: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """In double precision, each from its pair of vectors alone."""
-    return (candidates * query).sum(axis=1) / (np.sqrt((candidates * candidates).sum(axis=1)) * np.sqrt((query * query).sum()))
+    """In double precision, each from its pair of scaled vectors alone."""
+    return (candidates * query).sum(axis=1) / (_lengths(candidates) * np.sqrt((query * query).sum()))
 
 
 def _coded(dtype: str):
@@ -113,47 +130,61 @@ def _coded(dtype: str):
     return coded
 
 
+@dataclass(frozen=True)
+class _Shard:
+    """Vectors in order of their smallest id, and places among them in order of bucket key."""
+
+    vectors: np.ndarray
+    units: np.ndarray
+    ids: list[list[int]]
+    keys: np.ndarray
+    places: np.ndarray
+
+
+def _prepared(dtype: str):
+    """A shard from its members."""
+
+    def prepare(members: pa.Table) -> _Shard:
+        rep, ids = members["rep"].to_numpy(), members["ids"].to_pylist()
+        # A vector that is in several of the shard's buckets has several rows; its first stands for it.
+        _, first, same = np.unique(rep, return_index=True, return_inverse=True)
+        order = np.argsort([ids[k][0] for k in first], kind="stable")
+        place = np.empty(len(first), np.int64)
+        place[order] = np.arange(len(first))
+        first = first[order]
+        m = _vectors(members["vec"].take(first).to_pylist(), dtype)
+        keys = members["key"].to_numpy().view(np.uint64)
+        by = np.argsort(keys, kind="stable")
+        return _Shard(m, m / _lengths(m)[:, None], [ids[k] for k in first], keys[by], place[same][by])
+
+    return prepare
+
+
 def _search(dtype: str, keep: int):
-    """The search of one shard: members ``key, rep, vec, ids`` and queries ``query, vec, keys`` (null: all members)."""
-
-    def run(members: pa.Table, queries: pa.Table) -> pa.Table:
-        out: tuple[list, list] = ([], [])
-        if members.num_rows and queries.num_rows:
-            m = np.frombuffer(b"".join(members["vec"].to_pylist()), dtype=dtype).reshape(members.num_rows, -1).astype(np.float64)
-            rep, ids = members["rep"].to_numpy(), members["ids"].to_pylist()
-            # A vector that is in several of the shard's buckets has several rows; its first stands for it.
-            _, first, same = np.unique(rep, return_index=True, return_inverse=True)
-            order = np.argsort([ids[k][0] for k in first], kind="stable")
-            place = np.empty(len(first), np.int64)
-            place[order] = np.arange(len(first))
-            m, ids, place = m[first[order]], [ids[k] for k in first[order]], place[same]
-            unit = m / np.sqrt((m * m).sum(axis=1, keepdims=True))
-            keys = members["key"].to_numpy().view(np.uint64)
-            by = np.argsort(keys, kind="stable")
-            keys, place = keys[by], place[by]
-            vecs, wants = queries["vec"].to_pylist(), queries["keys"].to_pylist()
-            for n, query in enumerate(queries["query"].to_pylist()):
-                q = np.frombuffer(vecs[n], dtype=dtype).astype(np.float64)
-                if wants[n] is None:
-                    at = np.arange(len(m))
-                else:
-                    want = np.array(wants[n], np.int64).view(np.uint64)
-                    lo, hi = np.searchsorted(keys, want, "left"), np.searchsorted(keys, want, "right")
-                    full = hi > lo
-                    seen = np.zeros(len(m), bool)
-                    for a, b in zip(lo[full].tolist(), hi[full].tolist(), strict=True):
-                        seen[place[a:b]] = True
-                    at = np.flatnonzero(seen)
-                if not len(at):
-                    continue
-                near = unit[at] @ (q / np.sqrt((q * q).sum()))
-                if len(at) > 4 * keep:  # the exact measure for those that rounding could leave among the best
-                    at = at[near >= np.partition(near, len(near) - keep)[len(near) - keep] - 1e-9]
-                best = Best(1, keep)
-                best.add(0, at, cosines(m[at], q))
-                out[0].append(query)
-                out[1].append(nearest_ids(best.lists[0], ids, keep))
-        return pa.table({"query": pa.array(out[0], pa.int64()), "near": pa.array(out[1], pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())])))})
+    """The search of one shard for queries ``query, vec, keys`` (null: all members)."""
+
+    def run(shard: _Shard, queries: pa.Table) -> list[tuple[int, list[dict]]]:
+        asked, out = _vectors(queries["vec"].to_pylist(), dtype), []
+        for query, q, wants in zip(queries["query"].to_pylist(), asked, queries["keys"], strict=True):
+            if not wants.is_valid:
+                at = np.arange(len(shard.vectors))
+            else:
+                want = wants.values.to_numpy().view(np.uint64)
+                lo, hi = np.searchsorted(shard.keys, want, "left"), np.searchsorted(shard.keys, want, "right")
+                full = hi > lo
+                seen = np.zeros(len(shard.vectors), bool)
+                for a, b in zip(lo[full].tolist(), hi[full].tolist(), strict=True):
+                    seen[shard.places[a:b]] = True
+                at = np.flatnonzero(seen)
+            if not len(at):
+                continue
+            near = shard.units[at] @ (q / np.sqrt((q * q).sum()))
+            if len(at) > 4 * keep:  # the exact measure for those that rounding could leave among the best
+                at = at[near >= np.partition(near, len(near) - keep)[len(near) - keep] - 1e-9]
+            best = Best(1, keep)
+            best.add(0, at, cosines(shard.vectors[at], q))
+            out.append((query, nearest_ids(best.lists[0], shard.ids, keep)))
+        return out
 
     return run
 
@@ -166,7 +197,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, settings: Settings
     compared with all rows, in blocks.
 
     Vectors that are null, zero, not of the table's usual length or hold null
-    or non-finite components take no part, nor do null ids. Repeated rows count
+    or non-finite components take no part, nor do null ids; finite components
+    of any size do. Repeated rows count
     once. Other columns are not read, and an empty table gives an empty result.
     """
     spark = vectors.sparkSession
@@ -201,7 +233,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, settings: Settings
             for t in range(settings.tables):
                 keys = hashing.keys(unit, t)
                 chunk = (rep * 0x9E3779B1 >> 7) % chunks_of(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(_shard(keys, chunk, shards)), pa.array(keys.view(np.int64)), *b.columns], names=["shard", "key", "rep", "vec", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(_shard(keys, chunk, shards)), pa.array(keys.view(np.int64)), *b.columns], names=["part", "key", "rep", "vec", "ids"])
 
     def ask(batches):
         for b in rows(batches, 64):
@@ -218,14 +250,13 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, settings: Settings
                 for s, part in zip(to.tolist(), np.split(keys[order].view(np.int64), starts[1:]), strict=True):
                     for o, x in zip(out, (s, rep, v, part), strict=True):
                         o.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["shard", "query", "vec", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["part", "query", "vec", "keys"])
 
-    found_kind = "query bigint, near array<struct<far:double,vec_id:bigint>>"
     asked = distinct.where("asked")
-    members = distinct.select("rep", "vec", "ids").mapInArrow(deal, "shard int, key bigint, rep bigint, vec binary, ids array<bigint>")
-    queries = asked.select("rep", "vec").mapInArrow(ask, "shard int, query bigint, vec binary, keys array<bigint>")
-    search = _search(dtype, keep)
-    found = scratch.write(members.groupBy("shard").cogroup(queries.groupBy("shard")).applyInArrow(search, found_kind), "found")
+    members = distinct.select("rep", "vec", "ids").mapInArrow(deal, "part int, key bigint, rep bigint, vec binary, ids array<bigint>")
+    queries = asked.select("rep", "vec").mapInArrow(ask, "part int, query bigint, vec binary, keys array<bigint>")
+    search = lambda m, q: walked(m, q, _prepared(dtype), _search(dtype, keep), GROUP, pa.float64(), max(shards, partitions(spark)))
+    found = scratch.write(search(members, queries), "found")
     near = merged(found, keep)
 
     # Queries that found fewer ids than there are, or than are asked for.
@@ -233,8 +264,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, settings: Settings
     full = near.where(F.size("near") >= min(keep, there)).select("query")
     short = scratch.write(asked.select(F.col("rep").alias("query"), "vec").join(full, "query", "left_anti"), "short")
     if not short.isEmpty():
-        shard = F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard")
-        everything = distinct.select(shard, F.lit(0).cast("bigint").alias("key"), "rep", "vec", "ids")
-        asking = short.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "query", "vec", F.lit(None).cast("array<bigint>").alias("keys"))
-        near = merged(found.union(everything.groupBy("shard").cogroup(asking.groupBy("shard")).applyInArrow(search, found_kind)), keep)
+        part = F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("part")
+        everything = distinct.select(part, F.lit(0).cast("bigint").alias("key"), "rep", "vec", "ids")
+        asking = short.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("part"), "query", "vec", F.lit(None).cast("array<bigint>").alias("keys"))
+        near = merged(found.union(search(everything, asking)), keep)
     return ranked(kept, distinct, near, every, k, scratch)

@@ -1,4 +1,4 @@
-"""What both vector searches share: distinct vectors before, ranked neighbours after.
+"""What both vector searches share: distinct vectors before, the walk over parts of the data, ranked neighbours after.
 
 A search works on distinct vectors, each with the few smallest ids that carry
 it. That is exact: of many copies of a vector only the ``k + 1`` smallest ids
@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.store import Scratch
 
+#: Distinct vectors that a task holds before it sends them on.
+HELD = 20_000
+
 
 def dimension(vectors: DataFrame, vec_col: str) -> int:
     """The most frequent length of vectors, the larger of equally frequent ones; 0 for an empty table."""
@@ -54,17 +57,28 @@ def distinct_vectors(rows: DataFrame, every: int, keep: int, scratch: Scratch) -
     """Stored ``rep, vec, ids, asked``: the distinct vectors, numbered, with their ``keep`` smallest ids.
 
     ``asked`` tells whether an id that is divisible by ``every`` has the
-    vector. Each batch is reduced before the shuffle, so a vector that many
-    rows share sends a few ids for each batch.
+    vector. A partition is reduced before the shuffle, so a vector that many
+    rows share sends a few ids for each partition, or for each ``HELD`` vectors
+    of a partition.
     """
 
+    def reduced_batch(by: dict[bytes, tuple[list[int], bool]]):
+        ids = [sorted(x)[:keep] for x, _ in by.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(by), pa.binary()), pa.array(ids, pa.list_(pa.int64())), pa.array([a for _, a in by.values()], pa.bool_())], names=["vec", "ids", "asked"])
+
     def reduce(batches):
+        by: dict[bytes, tuple[list[int], bool]] = {}
         for b in batches:
-            by: dict[bytes, list[int]] = {}
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by.setdefault(v, []).append(i)
-            ids = [sorted(set(x)) for x in by.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.binary()), pa.array([x[:keep] for x in ids], pa.list_(pa.int64())), pa.array([any(i % every == 0 for i in x) for x in ids], pa.bool_())], names=["vec", "ids", "asked"])
+                ids, asked = by.get(v, ((), False))
+                if i not in ids:
+                    ids = [*ids, i] if len(ids) < 2 * keep else sorted([*ids, i])[:keep]
+                by[v] = (ids, asked or i % every == 0)
+                if len(by) >= HELD:
+                    yield reduced_batch(by)
+                    by = {}
+        if by:
+            yield reduced_batch(by)
 
     reduced = rows.mapInArrow(reduce, "vec binary, ids array<bigint>, asked boolean")
     smallest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep)
@@ -72,6 +86,56 @@ def distinct_vectors(rows: DataFrame, every: int, keep: int, scratch: Scratch) -
     return scratch.write(grouped.select(F.monotonically_increasing_id().alias("rep"), "vec", "ids", "asked"), "distinct")
 
 
+def walked(members: DataFrame, queries: DataFrame, prepare: Callable[[pa.Table], object], search: Callable[[object, pa.Table], list[tuple[int, list[dict]]]], group: int, far: pa.DataType, tasks: int) -> DataFrame:
+    """``query, near`` of the search of each part's members for its queries.
+
+    ``members`` are rows ``part, key, rep, vec, ids`` and ``queries`` rows
+    ``part, query, vec, keys``. A part's rows come to its task in order, the
+    members first: these are held, a number that the caller bounds, and its
+    queries go by in groups of ``group``, however many there are.
+    """
+    data = members.select("part", F.lit(0).cast("tinyint").alias("side"), "key", "rep", "vec", "ids")
+    asking = queries.select("part", F.lit(1).cast("tinyint").alias("side"), F.lit(0).cast("bigint").alias("key"), F.col("query").alias("rep"), "vec", F.col("keys").alias("ids"))
+    found = pa.schema([("query", pa.int64()), ("near", pa.list_(pa.struct([("far", far), ("vec_id", pa.int64())])))])
+
+    def run(batches):
+        part, held, index, waiting = None, [], None, []
+
+        def answers(index, waiting):
+            out = search(index, pa.Table.from_batches(waiting).select([3, 4, 5]).rename_columns(["query", "vec", "keys"]))
+            return pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], pa.int64()), pa.array([n for _, n in out], found.field(1).type)], schema=found)
+
+        for b in batches:
+            parts, sides = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(parts) != 0) | (np.diff(sides) != 0)) + 1).tolist(), b.num_rows]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if start == end:
+                    continue
+                piece = b.slice(start, end - start)
+                if parts[start] != part:
+                    if waiting:
+                        yield answers(index, waiting)
+                    part, held, index, waiting = parts[start], [], None, []
+                if sides[start] == 0:
+                    held.append(piece)
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    index = prepare(pa.Table.from_batches(held))
+                for at in range(0, piece.num_rows, group):
+                    waiting.append(piece.slice(at, group))
+                    if sum(w.num_rows for w in waiting) >= group:
+                        yield answers(index, waiting)
+                        waiting = []
+        if waiting:
+            yield answers(index, waiting)
+
+    kind = {pa.float64(): "double", pa.int64(): "bigint"}[far]
+    dealt = data.unionByName(asking).repartition(tasks, "part").sortWithinPartitions("part", "side")
+    return dealt.mapInArrow(run, f"query bigint, near array<struct<far:{kind},vec_id:bigint>>")
+
+
 def nearest_ids(found: list[tuple], ids: list[list[int]], keep: int) -> list[dict]:
     """The best ``keep`` ids of found vectors ``(-score, place)``, each of which stands for several ids."""
     every = sorted((far, i) for far, place in found for i in ids[place])

@@ -103,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _OP6 = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
 ),
 p AS (
     SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda t: t[1] * t[2])) AS BIGINT) AS score

@@ -85,6 +85,56 @@ def test_products_beyond_doubles_are_exact():
         mips.dual_tree(data * 8, data * 8, 3)
 
 
+def exact_products(m, k=5):
+    """By Python's integers; what 64 bits don't hold counts as the nearest number that they do."""
+    whole = [[int(x) for x in r] for r in np.floor(256 * m).tolist()]
+    most = 2**63 - 1
+    score = lambda a, b: max(-most, min(most, sum(x * y for x, y in zip(whole[a], whole[b], strict=True))))
+    return {q: [(i, s) for s, i in sorted((score(q, i), i) for i in range(len(m)) if i != q)] for q in range(0, len(m), 50)}, k
+
+
+@pytest.mark.parametrize("size", [9e6, 2.0**31, 1e9, 3e13, 1e100, 1e300])
+def test_products_of_any_size(spark, size):
+    g = np.random.default_rng(6)
+    m = np.round(g.normal(size=(120, 7)) * 4)
+    m[g.random(120) < 0.4] *= size
+    m[7], m[9] = size, -size
+    m[60, 0], m[61] = size, m[3]
+    m[100] = 0.5
+    m[101:110] += np.round(size / 3)  # cancels in part
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(m.tolist())], "vec_id bigint, embedding array<double>").repartition(3)
+    want, k = exact_products(m)
+    got = found(mips.top_products(df))
+    assert {q: sorted(x, key=lambda t: (-t[1], t[0]))[:k] for q, x in want.items()} == got
+
+
+def test_large_vectors_neither_vanish_nor_fail(spark):
+    few = spark.createDataFrame([(0, [9e6, 0.0]), (1, [1.0, 1.0]), (50, [2.0**23, 1.0])], "vec_id bigint, embedding array<double>")
+    a, b = 256 * 9_000_000, 256 * 2**23
+    assert found(mips.top_products(few)) == {0: [(50, a * b), (1, 256 * a)], 50: [(0, a * b), (1, 256 * b + 65536)]}
+    wide = spark.createDataFrame([(k, [8e6] * 64) for k in range(3)], "vec_id bigint, embedding array<double>")
+    assert found(mips.top_products(wide)) == {0: [(1, 2**63 - 1), (2, 2**63 - 1)]}
+    no = spark.createDataFrame([(0, [1e307, 1.0]), (50, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
+    assert found(mips.top_products(no)) == {50: []} or mips.top_products(no).collect() == []
+
+
+def test_cosines_of_any_size(spark):
+    few = spark.createDataFrame([(0, [1e200, 1.0]), (50, [1.0, 0.5]), (100, [1e-200, 1e-200]), (7, [5e-324, 0.0]), (8, [1.7e308, -1.7e308])], "vec_id bigint, embedding array<double>")
+    got = found(ann.nearest(few))
+    r = 0.5**0.5
+    want = {0: [(7, 1.0), (50, 0.8**0.5), (8, r), (100, r)], 50: [(100, 3 / 10**0.5), (0, 0.8**0.5), (7, 0.8**0.5), (8, 0.1**0.5)], 100: [(50, 3 / 10**0.5), (0, r), (7, r), (8, 0.0)]}
+    assert {q: sorted((i, pytest.approx(s, abs=1e-12)) for i, s in x) for q, x in want.items()} == {q: sorted(x) for q, x in got.items()}
+    assert all(x == sorted(x, key=lambda t: (-t[1], t[0])) for x in got.values())
+
+
+def test_queries_go_by_a_part_in_groups(table, monkeypatch):
+    """Small groups, shards and blocks give the same rows."""
+    products, cosines = found(mips.top_products(table)), found(ann.nearest(table))
+    for module, name, value in ((ann, "GROUP", 3), (ann, "SHARD", 700), (mips, "GROUP", 5), (mips, "BLOCK", 64)):
+        monkeypatch.setattr(module, name, value)
+    assert found(mips.top_products(table)) == products and found(ann.nearest(table)) == cosines
+
+
 def test_cosines_by_hashing(table):
     _, m = vectors()
     got = found(ann.nearest(table))
