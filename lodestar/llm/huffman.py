@@ -160,7 +160,8 @@ def write_encoded(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, i
     Documents are tokenized once and stored; counts of all ids make the code;
     a range partitioning of the stored ids by document id puts the stream in
     order. A null text is an empty document with its end id. Null document ids
-    come first, rows with one id are ordered by their ids' bytes, other columns
+    come first, rows with one id are ordered by a hash of their ids and may lie
+    in several partitions, other columns
     are ignored, an empty table gives files without blocks.
     """
     spark = docs.sparkSession
@@ -201,7 +202,10 @@ def write_encoded(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, i
             yield flush(kind)
 
     kind = stored.schema["doc_id"].dataType.simpleString()
-    ordered = stored.select("doc_id", "ids").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    # The row's number in the stored table parts rows that are alike, so that an id with many rows can be cut anywhere.
+    order = ["doc_id", "hash", "row"]
+    ordered = stored.select("doc_id", "ids", F.xxhash64("ids").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    ordered = ordered.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "ids")
     ordered.mapInArrow(encode, f"part int, before bigint, doc_ids array<{kind}>, lengths array<bigint>, checkpoints array<bigint>, payload binary").write.mode("overwrite").parquet(f"{path}/blocks")
     scratch.drop("ids")
 

@@ -1,7 +1,7 @@
 """Language identification with Bloom filters whose slots are language bitmasks.
 
 One Bloom filter for each language, bit-sliced: slot ``i`` of all filters is one
-integer with a bit for each language. The conjunction of an n-gram's slots is
+integer with a bit for each language (beyond 64 languages, one of several integers). The conjunction of an n-gram's slots is
 then the set of languages that contain it. A text's n-grams give a popcount for
 each language; as a filter also answers yes by chance, with a rate known from
 its fill, the count is corrected before the languages are compared.
@@ -34,6 +34,8 @@ LENGTHS = (3, 4)
 LEAST_COUNT, LEAST_SHARE = 3, 0.1
 #: Code points worked off at once.
 STEP = 400_000
+#: Languages of a mask.
+WORD = 64
 
 UNKNOWN = "und"
 
@@ -101,7 +103,7 @@ def _joined(held):
 
 @dataclass(frozen=True)
 class Filters:
-    """Fitted filters: the languages in order of their bits, the slots, the false-positive rate of each language."""
+    """Fitted filters: the languages in order of their bits, the slots (a row for every ``WORD`` languages), the false-positive rate of each language."""
 
     languages: tuple[str, ...]
     slots: np.ndarray
@@ -116,12 +118,14 @@ class Filters:
                 h, at = _grams(points, n)
                 keep = starts[at - 1]
                 h, who = h[keep], owner[at[keep]]
-                mask = self.slots[(s := _slots(h))[0]]
-                for x in s[1:]:
-                    mask &= self.slots[x]
                 total += np.bincount(who, minlength=len(texts))
-                for k in range(len(self.languages)):
-                    found[:, k] += np.bincount(who[(mask >> np.uint64(k) & np.uint64(1)).astype(bool)], minlength=len(texts))
+                places = _slots(h)
+                for word, slots in enumerate(self.slots):
+                    mask = slots[places[0]]
+                    for x in places[1:]:
+                        mask &= slots[x]
+                    for k in range(min(WORD, len(self.languages) - WORD * word)):
+                        found[:, WORD * word + k] += np.bincount(who[(mask >> np.uint64(k) & np.uint64(1)).astype(bool)], minlength=len(texts))
         return found, total
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -138,18 +142,16 @@ class Filters:
 
 
 def fit(labelled: DataFrame, key: Column, text: Column, lang: Column, rows_per_language: int = ROWS_PER_LANGUAGE) -> Filters:
-    """Filters from labelled rows; rows without a label or text take no part. At most 64 languages.
+    """Filters from labelled rows; rows without a label or text take no part.
 
     A row is in the sample if a hash of ``key`` is low enough for its
     language's share, so that the sample is the same in every run.
     """
     source = labelled.select(key.cast("string").alias("key"), text.cast("string").alias("text"), lang.alias("lang")).where("lang is not null and text is not null and key is not null")
-    sizes = {r["lang"]: r["n"] for r in source.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(65).collect()}
-    if len(sizes) > 64:
-        raise ValueError("a language mask has 64 bits; there are more languages")
+    sizes = {r["lang"]: r["n"] for r in source.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
     languages = tuple(sizes)
     if not languages:
-        return Filters((), np.zeros(SLOTS, np.uint64), np.zeros(0))
+        return Filters((), np.zeros((0, SLOTS), np.uint64), np.zeros(0))
     share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, rows_per_language / n))) for x, n in sizes.items()])
     sample = source.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share * (1 << 30)).select("text", "lang")
 
@@ -172,20 +174,24 @@ def fit(labelled: DataFrame, key: Column, text: Column, lang: Column, rows_per_l
     totals = scratch.agg(*[F.sum(f"n{k}").cast("double").alias(f"t{k}") for k in range(len(languages))]).first()
     rates = [F.coalesce(F.col(f"n{k}") / F.lit(totals[k] or 1.0), F.lit(0.0)) for k in range(len(languages))]
     top = F.greatest(*rates, F.lit(0.0))
-    mask = F.lit(0).cast("bigint")
+    words = [F.lit(0).cast("bigint") for _ in range(0, len(languages), WORD)]
     for k, r in enumerate(rates):
-        mask = mask.bitwiseOR(F.when((F.col(f"n{k}") >= LEAST_COUNT) & (r >= LEAST_SHARE * top), F.lit(_signed(1 << k))).otherwise(F.lit(0)).cast("bigint"))
+        bit = F.when((F.col(f"n{k}") >= LEAST_COUNT) & (r >= LEAST_SHARE * top), F.lit(_signed(1 << k % WORD))).otherwise(F.lit(0)).cast("bigint")
+        words[k // WORD] = words[k // WORD].bitwiseOR(bit)
 
     def spread(batches):
         for b in batches:
-            at = _slots(b.column(0).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), pa.array(np.tile(b.column(1).to_numpy(), HASHES))], names=["slot", "mask"])
+            at = np.concatenate(_slots(b.column(0).to_numpy().view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(np.tile(c.to_numpy(), HASHES)) for c in b.columns[1:])], names=["slot", *b.schema.names[1:]])
 
-    filled = scratch.select("gram", mask.alias("mask")).where("mask <> 0").mapInArrow(spread, "slot bigint, mask bigint").groupBy("slot").agg(F.bit_or("mask").alias("mask"))
-    slots = np.zeros(SLOTS, dtype=np.uint64)
+    names = [f"m{w}" for w in range(len(words))]
+    masks = scratch.select("gram", *[m.alias(n) for m, n in zip(words, names, strict=True)]).where(" or ".join(f"{n} <> 0" for n in names))
+    filled = masks.mapInArrow(spread, ", ".join(["slot bigint", *(f"{n} bigint" for n in names)])).groupBy("slot").agg(*[F.bit_or(n).alias(n) for n in names])
+    slots = np.zeros((len(names), SLOTS), dtype=np.uint64)
     got = filled.toArrow()  # at most SLOTS rows
-    slots[got.column("slot").to_numpy()] = got.column("mask").to_numpy().view(np.uint64)
-    fill = np.array([(slots >> np.uint64(k) & np.uint64(1)).mean() for k in range(len(languages))])
+    for w, n in enumerate(names):
+        slots[w, got.column("slot").to_numpy()] = got.column(n).to_numpy().view(np.uint64)
+    fill = np.array([(slots[k // WORD] >> np.uint64(k % WORD) & np.uint64(1)).mean() for k in range(len(languages))])
     return Filters(languages, slots, np.minimum(fill**HASHES, 0.99))
 
 

@@ -34,6 +34,8 @@ MOST_BITS = 2
 SEGMENTS = (22, 21, 21)
 #: Rows of a bucket up to which its task links them itself.
 BUCKET_ROWS = 20_000
+#: A bucket with a larger share of all rows than this is linked without a shuffle on its key.
+BUSY_SHARE = 1 / 1000
 #: Edges up to which a round of stars is worked off by one task, without a shuffle.
 FEW_EDGES = 100_000
 #: Generator polynomial of the Golay code.
@@ -159,8 +161,9 @@ def _bucket_links(fp: np.ndarray, searching: np.ndarray) -> list[tuple[int, int]
     return _forest(links) if links else []
 
 
-def _links_of_sorted(batches):
-    """Verified links of rows in order of key; for a bucket over ``BUCKET_ROWS`` its fingerprints alone, once each side."""
+def _links_of_sorted(batches, most: int | None = None):
+    """Verified links of rows in order of key; for a bucket over ``most`` (``BUCKET_ROWS``) rows its fingerprints alone, once each side."""
+    most = BUCKET_ROWS if most is None else most
     held: list[tuple[np.ndarray, np.ndarray]] = []
     key, size, hot = None, 0, False
 
@@ -195,7 +198,7 @@ def _links_of_sorted(batches):
                     continue
             held.append((fp[s:e], searching[s:e]))
             size += e - s
-            if size > BUCKET_ROWS:
+            if size > most:
                 hot = True
                 out += [(x, None) for f, _ in held for x in np.unique(f).tolist()]
                 held = []
@@ -218,23 +221,59 @@ def _ball_links(hot: DataFrame) -> DataFrame:
     return words.join(least, "word").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
 
+def busy_keys(distinct: DataFrame) -> np.ndarray:
+    """Keys of all buckets that have over ``BUCKET_ROWS`` rows and ``BUSY_SHARE`` of them; at most 2 / ``BUSY_SHARE``.
+
+    Each batch sends the keys with at least half that share of its rows. A key
+    can have at most half its rows in batches that don't send it, so a
+    sum of half the share of all rows finds every such key.
+    """
+
+    def often(batches):
+        for b in rows(batches, 20_000):
+            k, n = np.unique(bucket_keys(b.column(0).to_numpy())[0], return_counts=True)
+            most = n >= max(2, n.sum() * BUSY_SHARE / 2)
+            # The key -1 stands for all rows.
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *k[most].tolist()]), pa.array([int(n.sum()), *n[most].tolist()])], names=["key", "n"])
+
+    sums = distinct.select("fp").mapInArrow(often, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    total = sums.where("key = -1").first()
+    if total is None:
+        return np.array([], np.int64)
+    least = max(BUCKET_ROWS / 2, total["n"] * BUSY_SHARE / 2)
+    return np.array(sorted(r["key"] for r in sums.where((F.col("key") >= 0) & (F.col("n") >= least)).collect()), np.int64)
+
+
 def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges ``a, b`` that join the linked fingerprints of ``distinct`` (column ``fp``) into their components.
 
     All links between different fingerprints are kept as connections; pairs
-    that other edges connect already are left out.
+    that other edges connect already are left out. Fingerprints of busy buckets
+    are told before the shuffle and linked by their neighbouring words, whose
+    groups have 65 members at most; any other bucket that turns out
+    overfull in its task joins them.
     """
+    busy, most = busy_keys(distinct), BUCKET_ROWS
 
     def key(batches):
         for b in rows(batches, 20_000):
             fp = b.column(0).to_numpy()
             k, at, searching = bucket_keys(fp)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(fp[at]), pa.array(searching)], names=["key", "fp", "searching"])
+            calm = ~np.isin(k, busy)
+            yield pa.RecordBatch.from_arrays([pa.array(k[calm]), pa.array(fp[at][calm]), pa.array(searching[calm])], names=["key", "fp", "searching"])
+
+    def in_busy(batches):
+        for b in rows(batches, 20_000):
+            fp = b.column(0).to_numpy()
+            k, at, _ = bucket_keys(fp)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(fp[at[np.isin(k, busy)]]))], names=["a"])
 
     keyed = distinct.select("fp").mapInArrow(key, "key bigint, fp bigint, searching boolean")
-    found = keyed.repartition(_partitions(distinct), "key").sortWithinPartitions("key").mapInArrow(_links_of_sorted, "a bigint, b bigint")
+    found = keyed.repartition(_partitions(distinct), "key").sortWithinPartitions("key").mapInArrow(lambda batches: _links_of_sorted(batches, most), "a bigint, b bigint")
     stored = scratch.write(found, "links")
-    edges, hot = stored.where("b is not null"), stored.where("b is null")
+    edges, hot = stored.where("b is not null"), stored.where("b is null").select("a")
+    if len(busy):
+        hot = hot.union(distinct.select("fp").mapInArrow(in_busy, "a bigint"))
     return edges if hot.isEmpty() else edges.union(_ball_links(hot))
 
 
@@ -258,6 +297,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         else:
             near = together(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
         least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        if not few:  # as a stored table on one side, so that Spark can split a centre with many edges on the other
+            least = scratch.write(least, f"least-{turn}-{large}")
         joined = near.join(least, "a")
         moved = joined.where("b > a") if large else joined
         out = moved.select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -271,7 +312,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         check, few, turn = now, now[0] <= FEW_EDGES, turn + 1
         edges = scratch.write(star(star(edges, True, few), False, few), f"edges{turn}")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        scratch.drop(f"edges{turn - 1}")
+        for name in (f"edges{turn - 1}", f"least-{turn}-True", f"least-{turn}-False"):
+            scratch.drop(name)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -281,7 +323,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> t
     distinct = scratch.write(rows_.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     nodes = scratch.write(components(links(distinct, scratch), scratch), "nodes")
     named = nodes.join(distinct, nodes["node"] == distinct["fp"]).select("fp", "root", "least")
-    roots = named.groupBy("root").agg(F.min("least").alias("component"))
+    # Also stored, as one root may have a large part of all fingerprints.
+    roots = scratch.write(named.groupBy("root").agg(F.min("least").alias("component")), "roots")
     of_nodes = named.join(roots, "root").select(F.col("fp").alias("node_fp"), "root", "component")
     # Written down so that joins with rows have a plain shuffle on either side, whose hot keys Spark can split.
     joined = distinct.join(of_nodes, F.col("fp") == F.col("node_fp"), "left")

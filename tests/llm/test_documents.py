@@ -55,12 +55,23 @@ def test_popcounts_equal_single_lookups(labelled):
             if all(points[at + 1 : at + n - 1]):
                 n_all += 1
                 h, _ = langid._grams(np.array(points[at : at + n]), n)
-                slots = [int(filters.slots[s[0]]) for s in langid._slots(h)]
+                slots = [int(filters.slots[0, s[0]]) for s in langid._slots(h)]
                 for k in range(len(filters.languages)):
                     n_found[k] += all(x >> k & 1 for x in slots)
     assert total.tolist() == [0, n_all, 0] and found[1].tolist() == n_found and not found[0].any()
 
 
+def test_more_languages_than_a_mask_has_bits(spark):
+    rnd = random.Random(9)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:03}": ["".join(rnd.choices(alphabet, k=5)) for _ in range(12)] for k in range(70)}
+    rows = [(n * 70 + k, " ".join(rnd.choices(words[lang], k=25)), lang) for k, lang in enumerate(words) for n in range(8)]
+    filters = langid.fit_documents(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(filters.languages) == 70 and filters.slots.shape[0] == 2
+    names, _ = filters.predict([" ".join(rnd.choices(words[x], k=20)) for x in words])
+    assert sum(a == b for a, b in zip(names, words, strict=True)) >= 68
+
+
 def test_long_texts_are_counted_whole(labelled, monkeypatch):
     filters = langid.fit_documents(labelled)
     text = " ".join(sentences("en", 50, 2) + sentences("de", 60, 2))
@@ -170,6 +181,27 @@ def test_components_of_planted_fingerprints(spark, monkeypatch, bucket_rows):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+@pytest.mark.parametrize("bucket_rows, busy_share", [(3, 1.0), (3, 1 / 50), (20, 1 / 1000)])
+def test_hot_buckets_end_to_end(spark, monkeypatch, bucket_rows, busy_share):
+    """Fingerprints of which many share a segment: buckets are told before the shuffle, or found overfull in their task."""
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", bucket_rows)
+    monkeypatch.setattr(simhash, "BUSY_SHARE", busy_share)
+    monkeypatch.setattr(simhash, "FEW_EDGES", 0)
+    rnd = random.Random(8)
+    low = rnd.getrandbits(43)
+    fps = sorted({low | rnd.getrandbits(9) << 43 for _ in range(150)} | {rnd.getrandbits(64) for _ in range(100)} | {(1 << 63) | (1 << k) for k in range(40)})
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    scratch = Scratch(spark, "test")
+    distinct = scratch.write(spark.createDataFrame([(x,) for x in signed], "fp bigint").repartition(3), "fps")
+    assert bool(len(simhash.busy_keys(distinct))) == (busy_share < 1)
+    nodes = {r["node"]: r["root"] for r in simhash.components(simhash.links(distinct, scratch), scratch).collect()}
+    got, want = defaultdict(set), defaultdict(set)
+    for x, w in zip(signed, plain_components(fps), strict=True):
+        got[nodes.get(x, x)].add(x)
+        want[w].add(x)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_overfull_buckets_hand_on_their_fingerprints(monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET_ROWS", 4)
     import pyarrow as pa
