@@ -3,8 +3,8 @@
 With the scores ``S_g``, the sums of ``x e`` over a cluster's rows, neither the
 sandwich nor the bootstrap needs the rows again: a draw moves the coefficients
 by ``A sum_g w_g S_g``, with ``A`` the inverse of the information matrix. So
-rows are aggregated to one row for each cluster, and what comes to the driver
-is a matrix of ``p x p``, or of draws by ``p``.
+rows are aggregated to one row for each cluster, which the bootstrap stores,
+and what comes to the driver is a matrix of ``p x p``, or of draws by ``p``.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.functions import linalg, rng
 from lodestar.plans.moments import Design
+from lodestar.plans.stored import Scratch, positions
 
 #: Leverage from which HC3 is refused.
 MOST_LEVERAGE = 0.99
@@ -107,11 +108,12 @@ def summary(table: DataFrame, p: int) -> Clusters:
 def draws(table: DataFrame, p: int, clusters: int, method: str, seed: int, iterations: int) -> np.ndarray:
     """``sum_g w_g S_g`` for each draw of weights: an array of iterations by ``p``.
 
-    Clusters count in ascending order, and the weight of cluster ``g`` in draw
-    ``b`` is draw ``b G + g`` of the generator. Each block of clusters adds up
-    its part of all draws, so the table of clusters never comes to the driver.
+    ``table`` has the scores and the ``position`` of each cluster in ascending
+    order; the weight of cluster ``g`` in draw ``b`` is draw ``b G + g`` of the
+    generator. Each task adds up its clusters' part of all draws, so the table
+    of clusters never comes together.
     """
-    numbered = table.select((F.row_number().over(Window.orderBy("g")) - 1).cast("bigint").alias("k"), *[f"s{j}" for j in range(p)])
+    numbered = table.select(F.col("position").alias("k"), *[f"s{j}" for j in range(p)])
 
     def run(batches):
         total = np.zeros((iterations, p))
@@ -136,15 +138,14 @@ def draws(table: DataFrame, p: int, clusters: int, method: str, seed: int, itera
 def clustered(ask: Request, design: Design, residual: Column, bread: np.ndarray, n: int) -> tuple[np.ndarray, Clusters, str]:
     """Standard errors from cluster scores, analytical or by bootstrap; the kind of them."""
     table = scores(design, residual)
-    found = summary(table, design.size)
-    if found.nulls:
-        raise ValueError(f"Cluster column '{ask.cluster}' contains null values")
-    if found.count < 2:
-        raise ValueError(f"Clustered standard errors require at least 2 clusters; found {found.count}")
     if ask.bootstrap:
-        moved = draws(table, design.size, found.count, ask.method, rng.seed_or_clock(ask.seed), ask.iterations) @ bread
+        with Scratch(table.sparkSession, "scores") as scratch:
+            placed = positions(table, [F.col("g")], scratch, "scores")
+            found = _enough(ask, summary(placed, design.size))
+            moved = draws(placed, design.size, found.count, ask.method, rng.seed_or_clock(ask.seed), ask.iterations) @ bread
         errors = moved.std(axis=0, ddof=1) if ask.iterations > 1 else np.zeros(design.size)
         return _valid(errors), found, f"bootstrap_{ask.method}"
+    found = _enough(ask, summary(table, design.size))
     if found.smallest == 1:
         raise ValueError("Cluster contains only 1 observation; clustered standard errors need at least 2 in each, or bootstrap=True")
     if n == design.size:
@@ -156,6 +157,14 @@ def clustered(ask: Request, design: Design, residual: Column, bread: np.ndarray,
     return _valid(np.sqrt(np.diag(cov))), found, "analytical"
 
 
+def _enough(ask: Request, found: Clusters) -> Clusters:
+    if found.nulls:
+        raise ValueError(f"Cluster column '{ask.cluster}' contains null values")
+    if found.count < 2:
+        raise ValueError(f"Clustered standard errors require at least 2 clusters; found {found.count}")
+    return found
+
+
 def _valid(errors: np.ndarray) -> np.ndarray:
     if not np.isfinite(errors).all():
         raise ValueError(f"{INVALID}; check for extreme values")

@@ -16,6 +16,7 @@ from lodestar.functions import linalg
 from lodestar.operators import inference
 from lodestar.operators.results import LinearRegressionResult
 from lodestar.plans.moments import Design
+from lodestar.plans.stored import Scratch
 
 
 def linear_regression(
@@ -113,8 +114,10 @@ def _second_pass(design: Design, beta: np.ndarray, bread: np.ndarray, residual:
 def linear_regression_by(df: DataFrame, keys: str | list[str], x_cols: str | list[str], y_col: str, include_intercept: bool = True) -> DataFrame:
     """A regression with HC3 errors for each group: a row of ``keys``, ``n_samples, coefficients, intercept, r_squared, standard_errors, intercept_se, error``.
 
-    Groups are only aggregated and their coefficients joined back, so no group
-    has to fit a task. Where a group can't be fitted ``error`` says why and the
+    Groups are only aggregated and their coefficients, a stored table of a row
+    for each group, joined back, so no group has to fit a task: the table is
+    broadcast if its size allows, else Spark can split a large group's rows.
+    Rows are read twice. Where a group can't be fitted ``error`` says why and the
     estimates are null.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
@@ -145,7 +148,8 @@ def linear_regression_by(df: DataFrame, keys: str | list[str], x_cols: str | lis
 
     kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
     fitted = first.mapInArrow(solve, f"{kinds}, n bigint, spread double, gram array<double>, rhs array<double>, beta array<double>, bread array<double>, error string").drop("gram", "rhs")
-    back = fitted.select(*[F.col(n).alias(f"f_{n}") for n in names], "beta", "bread")
+    fitted = Scratch(df.sparkSession, "groups").write(fitted, "fitted")
+    back = fitted.where("beta is not null").select(*[F.col(n).alias(f"f_{n}") for n in names], "beta", "bread")
     same = F.lit(True)
     for n in names:
         same = same & F.col(n).eqNullSafe(F.col(f"f_{n}"))

@@ -1,8 +1,9 @@
 """Logistic regressions of many groups at once.
 
 All groups take their Newton steps together: a pass over the rows evaluates
-every group that is still under way at its own candidate, and a table with one
-row for each group carries what the iteration has to remember. Groups that are
+every group that is still under way at its own candidate, and a stored table
+with one row for each group carries what the iteration has to remember, so that
+each step's plan starts there and joins know the table's size. Groups that are
 done leave the table, and no group has to fit a task.
 """
 
@@ -17,6 +18,7 @@ from lodestar.functions import linalg
 from lodestar.operators import inference
 from lodestar.operators import logistic as one
 from lodestar.plans.moments import NAN
+from lodestar.plans.stored import Scratch
 
 _STATE = "n bigint, ones double, beta array<double>, likelihood double, gradient array<double>, info array<double>, candidate array<double>, direction array<double>, step double, halvings int, steps bigint, error string"
 
@@ -28,21 +30,6 @@ def _same(names: list[str], other: str) -> Column:
     return same
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder, so that the plan of the next step starts there."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="lodestar-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def _advance(row: dict, p: int) -> dict:
     """One group's state after its candidate has been evaluated."""
     state = {k: row[k] for k in ("n", "ones", "beta", "likelihood", "gradient", "info", "candidate", "direction", "step", "halvings", "steps", "error")}
@@ -97,18 +84,22 @@ def logistic_regression_by(df: DataFrame, keys: str | list[str], x_cols: str | l
         start = counted.select(
             *names, "n", "ones", null("array<double>").alias("beta"), null("double").alias("likelihood"), null("array<double>").alias("gradient"), null("array<double>").alias("info"), zero.alias("candidate"), zero.alias("direction"), F.lit(1.0).alias("step"), F.lit(0).alias("halvings"), F.lit(0).cast("bigint").alias("steps"), fault.alias("error")
         )
-        state, done = _kept(start), []
+        # What has been evaluated is stored, so the table that a step reads stays until the end.
+        scratch, step = Scratch(df.sparkSession, "logistic"), 0
+        state, done = scratch.write(start, "step0"), []
         while True:
             under_way = F.col("direction").isNotNull() & F.col("error").isNull()
             done.append(state.where(~under_way))
             state = state.where(under_way)
             if state.isEmpty():
                 break
-            state = _kept(_evaluated(rows, state, names, terms, pairs, kinds, p))
+            step += 1
+            state = scratch.write(_evaluated(rows, state, names, terms, pairs, kinds, p), f"step{step}")
         finished = done[0]
         for more in done[1:]:
             finished = finished.union(more)
-        result = _kept(_errors(rows, finished, names, terms, pairs, kinds, p, include_intercept))
+        result = Scratch(df.sparkSession, "logistic").write(_errors(rows, finished, names, terms, pairs, kinds, p, include_intercept), "result")
+        scratch.drop()
     finally:
         rows.unpersist()
     return result.select(*[F.col(n).alias(c) for c, n in zip(keys, names, strict=True)], *result.columns[len(names) :])

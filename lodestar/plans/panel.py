@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Cells of a panel beyond which it isn't brought to the driver.
+from lodestar.plans.stored import Scratch
+
+#: Cells of a panel beyond which it isn't brought to the driver: 400 MB of doubles.
 MOST_CELLS = 50_000_000
 
 
@@ -70,6 +72,11 @@ def labels(df: DataFrame, key: str, treatment_col: str) -> DataFrame:
     return df.groupBy(F.col(f"`{key}`").alias("key")).agg((F.max(F.col(f"`{treatment_col}`").cast("double")) > 0).alias("treated"))
 
 
+def cells(df: DataFrame, unit_col: str, time_col: str, outcome_col: str, treatment_col: str, scratch: Scratch) -> DataFrame:
+    """The four columns of a panel, stored: a panel is read several times, and is often the result of an aggregate."""
+    return scratch.write(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys((unit_col, time_col, outcome_col, treatment_col))]), "cells")
+
+
 def series(df: DataFrame, unit_col: str, time_col: str, outcome_col: str) -> DataFrame:
     """``unit, outcomes``: each unit's outcomes in order of time, as an array."""
     cells = df.select(F.col(f"`{unit_col}`").alias("unit"), F.col(f"`{time_col}`").alias("time"), F.col(f"`{outcome_col}`").cast("double").alias("y"))
@@ -85,20 +92,31 @@ def gram(df: DataFrame, unit_col: str, time_col: str, outcome_col: str) -> DataF
 
 
 def detect(df: DataFrame, unit_col: str, time_col: str, outcome_col: str, treatment_col: str, method: str) -> Panel:
-    """The panel of ``df``. Stricter than a count of rows: every unit has each period once."""
-    found = check(df, unit_col, time_col, outcome_col, treatment_col, method)
-    expected = found["units"] * found["periods"]
-    if found["rows"] != expected or found["cells"] != expected or found["nameless"]:
-        raise ValueError(f"Panel is not balanced: expected {expected} rows ({found['units']} units × {found['periods']} periods), found {found['rows']}")
-    if expected > MOST_CELLS:
-        raise ValueError(f"The panel has {expected} cells; more than {MOST_CELLS} don't fit the driver")
-    units = sorted((r["key"], r["treated"]) for r in labels(df, unit_col, treatment_col).collect())
-    periods = sorted((r["key"], r["treated"]) for r in labels(df, time_col, treatment_col).collect())
-    rows = {r["unit"]: r["outcomes"] for r in series(df, unit_col, time_col, outcome_col).collect()}
-    after, is_treated = np.array([p[1] for p in periods]), np.array([u[1] for u in units])
+    """The panel of ``df``. Stricter than a count of rows: every unit has each period once.
+
+    ``df`` is read once. The outcomes come to the driver as Arrow arrays, a row
+    for each unit; what is broadcast of a panel is bounded by ``MOST_CELLS``, too.
+    """
+    if not {unit_col, time_col, outcome_col, treatment_col} <= set(df.columns):
+        check(df, unit_col, time_col, outcome_col, treatment_col, method)
+    with Scratch(df.sparkSession, "panel") as scratch:
+        stored = cells(df, unit_col, time_col, outcome_col, treatment_col, scratch)
+        found = check(stored, unit_col, time_col, outcome_col, treatment_col, method)
+        expected = found["units"] * found["periods"]
+        if found["rows"] != expected or found["cells"] != expected or found["nameless"]:
+            raise ValueError(f"Panel is not balanced: expected {expected} rows ({found['units']} units × {found['periods']} periods), found {found['rows']}")
+        if expected > MOST_CELLS:
+            raise ValueError(f"The panel has {expected} cells; more than {MOST_CELLS} don't fit the driver")
+        whole = series(stored, unit_col, time_col, outcome_col).join(labels(stored, unit_col, treatment_col), F.col("unit") == F.col("key"))
+        units = whole.select("unit", "treated", "outcomes").toArrow()
+        periods = sorted((r["key"], r["treated"]) for r in labels(stored, time_col, treatment_col).collect())
+    names, after = units["unit"].to_pylist(), np.array([p[1] for p in periods])
+    order = sorted(range(len(names)), key=names.__getitem__)
+    values = units["outcomes"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    is_treated = np.array(units["treated"].to_pylist())[order]
     return Panel(
-        np.array([rows[u] for u, _ in units], dtype=np.float64),
-        [u for u, _ in units],
+        values.reshape(len(names), len(periods))[order].astype(np.float64),
+        [names[k] for k in order],
         [p for p, _ in periods],
         np.flatnonzero(~is_treated),
         np.flatnonzero(is_treated),
