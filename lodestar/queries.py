@@ -19,6 +19,7 @@ from lodestar.functions.simplex import project
 from lodestar.operators import inference, sdid, synthetic_control
 from lodestar.operators.linear import _first_pass, linear_regression, linear_regression_by
 from lodestar.operators.logistic import logistic_regression
+from lodestar.operators.logistic_by import logistic_regression_by
 from lodestar.plans import panel as panels
 from lodestar.plans.moments import Design
 from lodestar.sources.tables import table
@@ -182,6 +183,28 @@ def logit_score_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _row(spark, se0=round(r.intercept_se, 6), se1=round(r.standard_errors[0], 6))
 
 
+def logit_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases by value for each quarter of the day."""
+    events = table(spark, sf_dir, "events").select("value", F.floor(F.hour("ts") / 6).cast("int").alias("part_of_day"), (F.col("event_type") == "purchase").cast("double").alias("purchase"))
+    r = logistic_regression_by(events, "part_of_day", "value", "purchase")
+    numbers = (F.round("intercept", 6).alias("b0"), F.round(F.col("coefficients")[0], 8).alias("b1"), F.round("log_likelihood", 3).alias("log_likelihood"))
+    return r.select("part_of_day", "n_samples", *numbers, F.round("intercept_se", 6).alias("se0"), F.round(F.col("standard_errors")[0], 8).alias("se1"))
+
+
+def logit_separated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A covariate that parts the outcomes has no estimate; each brand says so."""
+    parts = table(spark, sf_dir, "part").select("p_brand", F.col("p_size").alias("size"), (F.col("p_size") > F.when(F.col("p_brand") < "Brand#3", 25).otherwise(0)).cast("double").alias("large"))
+    r = logistic_regression_by(parts, "p_brand", "size", "large")
+    fault = F.when(F.startswith("error", F.lit("Perfect separation")), "separated").when(F.contains("error", F.lit("both 0 and 1")), "one class").otherwise("other")
+    return r.select("p_brand", "n_samples", fault.alias("fault"), F.isnull("coefficients").alias("without_estimate"))
+
+
+def wild_bootstrap_singletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of one row each, which only the bootstrap takes."""
+    r = _quietly(lambda: linear_regression(table(spark, sf_dir, "supplier"), "s_nationkey", "s_acctbal", cluster="s_suppkey", bootstrap=True, bootstrap_iterations=DRAWS, seed=SEED))
+    return _row(spark, se_slope=round(r.standard_errors[0], 5), se_intercept=round(r.intercept_se, 4), n_clusters=r.n_clusters)
+
+
 def logit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("value", (F.col("event_type") == "purchase").cast("double").alias("purchase"))
     r = logistic_regression(events, "value", "purchase")
@@ -305,7 +328,7 @@ def windowed_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL: tuple[Query, ...] = (
     ols_simple, ols_no_intercept, ols_multi, ols_grouped, hc3_grouped, ols_transformed, hc3_simple, hc3_no_intercept, leverage_stats, cluster_scores, cluster_sizes, cluster_balance, cluster_se_analytical,
-    wild_bootstrap_rademacher, wild_bootstrap_webb, splitmix64_stream, bootstrap_weights, logit_mle, logit_hc3, logit_cluster_se, logit_score_bootstrap, logit_events, panel_detect, panel_balance, panel_matrix,
+    wild_bootstrap_rademacher, wild_bootstrap_webb, splitmix64_stream, bootstrap_weights, logit_mle, logit_hc3, logit_cluster_se, logit_score_bootstrap, logit_events, logit_grouped, logit_separated, wild_bootstrap_singletons, panel_detect, panel_balance, panel_matrix,
     panel_gram, sc_traditional, sc_robust, sc_penalized, sc_penalized_auto, sc_augmented, sc_placebo, sdid_unit_weights, sdid_time_weights, sdid_att, sdid_placebo_draws, sdid_placebo_se, simplex_projection, windowed_ols,
 )
 
@@ -478,6 +501,150 @@ SELECT round((SELECT avg(y) FROM m WHERE tu = 1 AND tp = 1) - (SELECT sum(fw.w[i
     round(sqrt((SELECT avg(gap * gap) FROM x)), 4) AS pre_treatment_fit
 """
 
+#: The penalties that are tried; the same for all tables.
+_PENALTIES = ", ".join(f"{p!r}::DOUBLE" for p in synthetic_control.PENALTIES)
+
+#: Controls, their outcomes before treatment against the treated unit's, and sums of products.
+_DONORS = f"""{_SEGMENTS}, {_MARKED},
+u AS (SELECT unit, row_number() OVER (ORDER BY unit) AS i FROM (SELECT DISTINCT unit FROM m WHERE tu = 0)),
+d AS MATERIALIZED (SELECT unit, period, tu, y FROM m WHERE tp = 0),
+g AS (SELECT u1.i, u2.i AS j, sum(d1.y * d2.y) AS v FROM d d1 JOIN d d2 USING (period) JOIN u u1 ON u1.unit = d1.unit JOIN u u2 ON u2.unit = d2.unit GROUP BY ALL),
+r AS (SELECT i, sum(d1.y * d2.y) AS v FROM d d1 JOIN u USING (unit) JOIN d d2 ON d2.period = d1.period AND d2.tu = 1 GROUP BY i)"""
+
+
+def _solved(source: str, name: str) -> str:
+    """Elimination without exchanges of positive definite systems: ``name (id, x)`` from rows ``id, a`` of ``source``, matrices with the right side as last column."""
+    return f"""
+{name}_e AS (
+    SELECT 1::BIGINT AS k, id, a FROM {source}
+    UNION ALL
+    SELECT k + 1, id, list_transform(range(1, len(a) + 1), lambda i: CASE WHEN i = k THEN list_transform(a[k], lambda z: z / a[k][k])
+        ELSE list_transform(range(1, len(a) + 2), lambda j: a[i][j] - a[i][k] / a[k][k] * a[k][j]) END) FROM {name}_e WHERE k <= len(a)
+),
+{name} AS (SELECT id, list_transform(a, lambda z: z[len(a) + 1]) AS x FROM {name}_e WHERE k = len(a) + 1)"""
+
+
+#: ``w (id, w)``: the penalized solutions for the penalties ``l (id, penalty)``, projected.
+_PENALIZED = f"""
+a AS (SELECT id, list(row ORDER BY i) AS a FROM (
+    SELECT id, i, list_append(list(g.v + CASE WHEN i = j THEN penalty ELSE 0 END ORDER BY j), any_value(r.v)) AS row FROM l, g JOIN r USING (i) GROUP BY id, i) GROUP BY id),
+{_solved("a", "s")},
+o AS (SELECT id, x, list_sort(x, 'DESC') AS down FROM s),
+h AS (SELECT id, x, down, list_transform(range(1, len(x) + 1), lambda k: (list_sum(down[1:k]) - 1) / k) AS level FROM o),
+w AS (SELECT id, list_transform(x, lambda z: greatest(z - level[list_max(list_filter(range(1, len(x) + 1), lambda k: down[k] - level[k] > 0))], 0)) AS w FROM h)"""
+
+#: The treated unit's distance from its weighted controls in each period, for the weights ``w (id, w)``.
+_GAPS = """
+x AS (SELECT w.id, tp, period, max(CASE WHEN tu = 1 THEN m.y END) - sum(CASE WHEN tu = 0 THEN w.w[i] * m.y ELSE 0 END) AS gap FROM m LEFT JOIN u USING (unit), w GROUP BY ALL),
+f AS (SELECT id, avg(gap) FILTER (tp = 1) AS effect, avg(gap * gap) FILTER (tp = 0) AS mse FROM x GROUP BY id)"""
+
+_SHOWN = ", ".join(f"round(w[{k}], 5) AS w{k}" for k in range(1, 5))
+
+
+def _penalized_sql(penalties: str, tail: str = "") -> str:
+    return f"""
+WITH RECURSIVE {_DONORS},
+l AS (SELECT row_number() OVER () AS id, penalty FROM (SELECT unnest([{penalties}]) AS penalty)),
+{_PENALIZED},
+{_GAPS}
+SELECT round(effect, 4) AS att, round(sqrt(mse), 5) AS rmse, {_SHOWN}{tail} FROM f JOIN w USING (id) JOIN l USING (id) ORDER BY mse, penalty LIMIT 1
+"""
+
+
+_AUGMENTED = f"""
+WITH RECURSIVE {_DONORS},
+p AS MATERIALIZED (SELECT (SELECT list(l ORDER BY i) FROM (SELECT i, list(v ORDER BY j) AS l FROM g GROUP BY i)) AS gram, (SELECT list(v ORDER BY i) FROM r) AS v, (SELECT count(*) FROM u)::BIGINT AS size, 0.0::DOUBLE AS zeta, 0.0::DOUBLE AS const),
+{_frank_wolfe(1000, 1e-6)},
+w AS (SELECT 1 AS id, w FROM fw),
+{_GAPS},
+late AS (SELECT i, avg(y) AS y FROM m JOIN u USING (unit) WHERE tp = 1 GROUP BY i),
+q AS (SELECT period, row_number() OVER (ORDER BY period) AS t FROM (SELECT DISTINCT period FROM d)),
+k AS (SELECT q1.t, q2.t AS o, sum(d1.y * d2.y) AS v FROM d d1 JOIN d d2 USING (unit) JOIN q q1 ON q1.period = d1.period JOIN q q2 ON q2.period = d2.period WHERE d1.tu = 0 GROUP BY ALL),
+b AS (SELECT t, sum(d.y * late.y) AS v FROM d JOIN u USING (unit) JOIN late USING (i) JOIN q USING (period) GROUP BY t),
+a AS (SELECT 1 AS id, list(row ORDER BY t) AS a FROM (SELECT t, list_append(list(k.v + CASE WHEN t = o THEN {synthetic_control.RIDGE!r} ELSE 0 END ORDER BY o), any_value(b.v)) AS row FROM k JOIN b USING (t) GROUP BY t)),
+{_solved("a", "s")},
+z AS (SELECT sum(s.x[t] * (CASE WHEN tu = 1 THEN -1 ELSE w.w[i] END) * d.y) AS bias FROM d JOIN q USING (period) LEFT JOIN u USING (unit), w, s)
+SELECT round(effect - bias, 4) AS att, round(sqrt(mse), 5) AS rmse, {_SHOWN} FROM f, z, w
+"""
+
+
+def _frank_wolfe_each(name: str, most: int, tol: float) -> str:
+    """The solver's path for each row of ``name_p (id, gram, v, size, zeta, const)``; ``name (id, w)`` has the weights."""
+    one = _frank_wolfe(most, tol).strip()
+    path = one[: one.index("),\nfw AS")].removeprefix("st AS (")
+    path = path.replace("SELECT 0 AS k,", "SELECT id, 0 AS k,").replace("SELECT k + 1,", "SELECT id, k + 1,").replace("FROM st, p WHERE", "FROM st JOIN p USING (id) WHERE").replace("SELECT st.*, p.*,", "SELECT st.*, p.* EXCLUDE (id),")
+    path = re.sub(r"\bst\b", f"{name}_st", re.sub(r"\bp\b", f"{name}_p", path))
+    return f"{name}_st AS ({path}),\n{name} AS (SELECT id, arg_max(CASE WHEN done THEN w ELSE bw END, k) AS w FROM {name}_st GROUP BY id)"
+
+
+#: Each control in turn in the treated unit's place, the other controls being those of ``others (id, unit, i)``.
+_SC_PLACEBO = f"""
+WITH RECURSIVE {_DONORS},
+others AS (SELECT a.i AS id, b.unit, row_number() OVER (PARTITION BY a.i ORDER BY b.i) AS i FROM u a JOIN u b ON a.i <> b.i),
+t AS (SELECT i AS id, unit FROM u UNION ALL SELECT 0, unit FROM m WHERE tu = 1 GROUP BY unit),
+n AS (SELECT id, unit, i FROM others UNION ALL SELECT 0, unit, i FROM u),
+gg AS (SELECT a.id, a.i, b.i AS j, sum(d1.y * d2.y) AS v FROM n a JOIN n b USING (id) JOIN d d1 ON d1.unit = a.unit JOIN d d2 ON d2.unit = b.unit AND d2.period = d1.period GROUP BY ALL),
+rr AS (SELECT a.id, a.i, sum(d1.y * d2.y) AS v FROM n a JOIN t ON t.id = a.id JOIN d d1 ON d1.unit = a.unit JOIN d d2 ON d2.unit = t.unit AND d2.period = d1.period GROUP BY ALL),
+each_p AS MATERIALIZED (SELECT id, gram, v, len(v)::BIGINT AS size, 0.0::DOUBLE AS zeta, 0.0::DOUBLE AS const
+    FROM (SELECT id, list(l ORDER BY i) AS gram FROM (SELECT id, i, list(v ORDER BY j) AS l FROM gg GROUP BY id, i) GROUP BY id) JOIN (SELECT id, list(v ORDER BY i) AS v FROM rr GROUP BY id) USING (id)),
+{_frank_wolfe_each("each", 1000, 1e-6)},
+late AS (SELECT unit, avg(y) AS y FROM m WHERE tp = 1 GROUP BY unit),
+e AS (SELECT t.id, any_value(lt.y) - sum(each.w[n.i] * ln.y) AS effect FROM t JOIN each USING (id) JOIN n USING (id) JOIN late lt ON lt.unit = t.unit JOIN late ln ON ln.unit = n.unit GROUP BY t.id)
+SELECT round(any_value(effect) FILTER (id = 0), 4) AS att, round(stddev_samp(effect) FILTER (id > 0), 4) AS se, count(*) FILTER (id > 0) AS n_placebo FROM e
+"""
+
+#: The effect (id 0), and with each control added to the treated units in turn; averaged over the draws of controls.
+_DID_PLACEBO = f"""
+WITH RECURSIVE {_KINDS}, {_MARKED},
+u AS (SELECT unit, row_number() OVER (ORDER BY unit) AS i FROM (SELECT DISTINCT unit FROM m WHERE tu = 0)),
+ids AS (SELECT 0::BIGINT AS id UNION ALL SELECT i FROM u),
+q AS (SELECT period, row_number() OVER (ORDER BY period) AS t FROM (SELECT DISTINCT period FROM m WHERE tp = 0)),
+n AS (SELECT id, unit, row_number() OVER (PARTITION BY id ORDER BY i) AS i FROM ids JOIN u ON u.i <> ids.id),
+v AS MATERIALIZED (SELECT ids.id, m.unit, m.period, m.tp, m.y, n.i, q.t FROM ids JOIN m ON true LEFT JOIN n ON n.id = ids.id AND n.unit = m.unit LEFT JOIN q ON q.period = m.period),
+late AS (SELECT id, i, avg(y) AS y FROM v WHERE i IS NOT NULL AND tp = 1 GROUP BY id, i),
+early AS (SELECT id, t, avg(y) AS y FROM v WHERE i IS NULL AND tp = 0 GROUP BY id, t),
+d AS MATERIALIZED (SELECT id, i, t, y FROM v WHERE i IS NOT NULL AND tp = 0),
+spread AS (SELECT id, stddev_samp(y) AS s, count(DISTINCT i) AS units, count(DISTINCT t) AS times FROM d GROUP BY id),
+units_p AS MATERIALIZED (SELECT id, gram, v, len(v)::BIGINT AS size, units ** 0.25 * s AS zeta, const FROM spread
+    JOIN (SELECT id, list(l ORDER BY i) AS gram FROM (SELECT id, i, list(v ORDER BY j) AS l FROM (SELECT a.id, a.i, b.i AS j, sum(a.y * b.y) AS v FROM d a JOIN d b USING (id, t) GROUP BY ALL) GROUP BY id, i) GROUP BY id) USING (id)
+    JOIN (SELECT id, list(v ORDER BY i) AS v FROM (SELECT d.id, d.i, sum(d.y * early.y) AS v FROM d JOIN early USING (id, t) GROUP BY ALL) GROUP BY id) USING (id)
+    JOIN (SELECT id, sum(y * y) AS const FROM early GROUP BY id) USING (id)),
+times_p AS MATERIALIZED (SELECT id, gram, v, len(v)::BIGINT AS size, times ** 0.25 * s AS zeta, const FROM spread
+    JOIN (SELECT id, list(l ORDER BY t) AS gram FROM (SELECT id, t, list(v ORDER BY o) AS l FROM (SELECT a.id, a.t, b.t AS o, sum(a.y * b.y) AS v FROM d a JOIN d b USING (id, i) GROUP BY ALL) GROUP BY id, t) GROUP BY id) USING (id)
+    JOIN (SELECT id, list(v ORDER BY t) AS v FROM (SELECT d.id, d.t, sum(d.y * late.y) AS v FROM d JOIN late USING (id, i) GROUP BY ALL) GROUP BY id) USING (id)
+    JOIN (SELECT id, sum(y * y) AS const FROM late GROUP BY id) USING (id)),
+{_frank_wolfe_each("units", 200, 1e-3)},
+{_frank_wolfe_each("times", 200, 1e-3)},
+x AS (SELECT early.id, sum(times.w[t] * (early.y - c.y)) AS gap FROM early JOIN times USING (id) JOIN (SELECT d.id, d.t, sum(units.w[i] * d.y) AS y FROM d JOIN units USING (id) GROUP BY ALL) c USING (id, t) GROUP BY early.id),
+e AS (SELECT id, post.y - base.y - gap AS effect FROM x JOIN (SELECT id, avg(y) AS y FROM v WHERE i IS NULL AND tp = 1 GROUP BY id) post USING (id) JOIN (SELECT late.id, sum(units.w[i] * late.y) AS y FROM late JOIN units USING (id) GROUP BY late.id) base USING (id)),
+{_draws(SEED, DRAWS).strip().replace("(k::UHUGEINT + 1) *", "k::UHUGEINT + 1::UHUGEINT *").replace("u AS (", "rng AS (", 1)}
+SELECT round((SELECT effect FROM e WHERE id = 0), 4) AS att, round(stddev_samp(effect), 4) AS se, count(*) AS used FROM rng JOIN e ON e.id = (rng.u % 4)::BIGINT + 1
+"""
+
+#: Newton steps of each group from zero, and HC3.
+_LOGIT_GROUPED = """
+WITH RECURSIVE t AS MATERIALIZED (SELECT value AS x, (event_type = 'purchase')::DOUBLE AS y, (hour(ts) // 6)::INT AS g FROM events),
+st AS (
+    SELECT 0 AS k, g, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 FROM t GROUP BY g
+    UNION ALL
+    SELECT k + 1, g, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+    FROM (SELECT k, g, b0, b1, sum(y - p) AS g0, sum((y - p) * x) AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) AS h11
+        FROM (SELECT st.*, x, y, 1 / (1 + exp(-b0 - b1 * x)) AS p FROM st JOIN t USING (g) WHERE k < 12) GROUP BY k, g, b0, b1)
+),
+p AS (SELECT t.*, b0, b1, 1 / (1 + exp(-b0 - b1 * x)) AS p FROM t JOIN st USING (g) WHERE k = 12),
+a AS (SELECT g, h11 / d AS a00, -h01 / d AS a01, h00 / d AS a11 FROM (SELECT *, h00 * h11 - h01 * h01 AS d FROM (SELECT g, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) AS h11 FROM p GROUP BY g))),
+r AS (SELECT p.*, a.* EXCLUDE (g), (y - p) ** 2 / (1 - p * (1 - p) * (a00 + 2 * a01 * x + a11 * x * x)) ** 2 AS w FROM p JOIN a USING (g)),
+k AS (SELECT g, count(*) AS n, any_value(b0) AS b0, any_value(b1) AS b1, sum(y * ln(p) + (1 - y) * ln(1 - p)) AS l, any_value(a00) AS a00, any_value(a01) AS a01, any_value(a11) AS a11, sum(w) AS m00, sum(w * x) AS m01, sum(w * x * x) AS m11 FROM r GROUP BY g)
+SELECT g AS part_of_day, n AS n_samples, round(b0, 6) AS b0, round(b1, 8) AS b1, round(l, 3) AS log_likelihood,
+    round(sqrt(a00 * a00 * m00 + 2 * a00 * a01 * m01 + a01 * a01 * m11), 6) AS se0, round(sqrt(a01 * a01 * m00 + 2 * a01 * a11 * m01 + a11 * a11 * m11), 8) AS se1 FROM k
+"""
+
+_SEPARATED = """
+SELECT p_brand, n AS n_samples, CASE WHEN ones = n OR ones = 0 THEN 'one class' WHEN above > below THEN 'separated' ELSE 'other' END AS fault, true AS without_estimate
+FROM (SELECT p_brand, count(*) AS n, count_if(l) AS ones, min(p_size) FILTER (l) AS above, max(p_size) FILTER (NOT l) AS below
+    FROM (SELECT p_brand, p_size, p_size > CASE WHEN p_brand < 'Brand#3' THEN 25 ELSE 0 END AS l FROM part) GROUP BY p_brand)
+"""
+
 _PLACED = "SELECT unnest(range(1, len(w) + 1)) AS place, round(unnest(w), 5) AS weight FROM fw"
 
 
@@ -535,6 +702,14 @@ SELECT round(any_value(b0), 6) AS b0, round(any_value(b1), 6) AS b1, round(sum(y
         "panel_gram": f"WITH {_SEGMENTS} SELECT a.unit AS unit_a, b.unit AS unit_b, round(sum(a.y * b.y), 4) AS product FROM c a JOIN c b USING (period) WHERE a.unit <= b.unit GROUP BY ALL",
         "sc_traditional": _control_sql("0"),
         "sc_robust": _control_sql("avg(y) OVER (PARTITION BY unit, tp)"),
+        "sc_penalized": _penalized_sql("10.0::DOUBLE"),
+        "sc_penalized_auto": _penalized_sql(_PENALTIES, ", penalty"),
+        "sc_augmented": _AUGMENTED,
+        "sc_placebo": _SC_PLACEBO,
+        "sdid_placebo_se": _DID_PLACEBO,
+        "logit_grouped": _LOGIT_GROUPED,
+        "logit_separated": _SEPARATED,
+        "wild_bootstrap_singletons": _bootstrap_sql(_SCORES.replace("l_quantity AS x, l_extendedprice AS y, l_suppkey AS g, l_returnflag AS f FROM lineitem", "s_nationkey AS x, s_acctbal AS y, s_suppkey AS g FROM supplier"), _RADEMACHER, (4, 5), ("se_intercept", "se_slope"), ", (SELECT count(*) FROM s) AS n_clusters"),
         "sdid_unit_weights": _DID_UNITS + _PLACED,
         "sdid_time_weights": _DID_TIMES + _PLACED,
         "sdid_att": _DID_EFFECT,
