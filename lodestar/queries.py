@@ -354,14 +354,14 @@ s AS (SELECT g, count(*) AS n, sum(e) AS s0, sum(e * x) AS s1, any_value(a00) AS
 """
 
 
-def _draws(seed: int, count: int) -> str:
-    """Draws of the generator by number, in integers wide enough not to overflow."""
+def _draws(seed: int, count: int | str) -> str:
+    """As many draws of the generator as a number or a query says, by number, in integers wide enough not to overflow."""
     wrap = "18446744073709551616::UHUGEINT"
     return f"""
 u AS (SELECT k, xor(z, z >> 31) AS u FROM
     (SELECT k, ((xor(z, z >> 27))::UHUGEINT * {rng.MIX_2}::UHUGEINT % {wrap})::UBIGINT AS z FROM
     (SELECT k, ((xor(z, z >> 30))::UHUGEINT * {rng.MIX_1}::UHUGEINT % {wrap})::UBIGINT AS z FROM
-    (SELECT k, (({seed}::UHUGEINT + (k::UHUGEINT + 1) * {rng.GAMMA}::UHUGEINT) % {wrap})::UBIGINT AS z FROM range({count}) q(k)))))
+    (SELECT k, (({seed}::UHUGEINT + (k::UHUGEINT + 1) * {rng.GAMMA}::UHUGEINT) % {wrap})::UBIGINT AS z FROM (SELECT unnest(range(({count})::BIGINT)) AS k)))))
 """
 
 
@@ -370,10 +370,10 @@ _RADEMACHER = "CASE WHEN u % 2 = 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END"
 
 
 def _bootstrap_sql(scores: str, weight: str, digits: tuple[int, int], names: tuple[str, str], tail: str = "") -> str:
-    """Standard deviations over draws; the draws number as many as clusters times iterations, at most 4096 clusters."""
+    """Standard deviations over draws; the draws number as many as clusters times iterations."""
     return f"""{scores},
 i AS (SELECT row_number() OVER (ORDER BY g) - 1 AS gi, count(*) OVER () AS gs, s.* FROM s),
-{_draws(SEED, 4096 * DRAWS)},
+{_draws(SEED, f"SELECT count(*) * {DRAWS} FROM s")},
 w AS (SELECT k // gs AS draw, k % gs AS gi, {weight} AS w FROM u, (SELECT any_value(gs) AS gs FROM i) WHERE k < gs * {DRAWS}),
 d AS (SELECT draw, sum(w * s0) AS r0, sum(w * s1) AS r1, any_value(a00) AS a00, any_value(a01) AS a01, any_value(a11) AS a11 FROM w JOIN i USING (gi) GROUP BY draw)
 SELECT round(stddev_samp(a01 * r0 + a11 * r1), {digits[1]}) AS {names[1]}, round(stddev_samp(a00 * r0 + a01 * r1), {digits[0]}) AS {names[0]}{tail} FROM d
