@@ -12,12 +12,15 @@ names each ``[``, ``<`` and ``\\`` is followed by a ``\\``, so no text can hold
 control string, and dropping that ``\\`` gives the text back.
 
 Turns are collected in two steps. First every ``SEGMENT`` turn numbers of a
-conversation make a segment, sorted, merged and escaped in a task of its own;
+conversation make a segment, sorted and escaped in a task of its own;
 then a conversation's segments are put in order and joined, where a block that
 goes on in the next segment stays open. A conversation with a large part of all
 rows is thus worked off in many tasks, and only its finished text, which is one
-row of the result, comes together. Within a segment string positions are short,
-so reading the loss mask stays linear in the text.
+row of the result, comes together. Where more than ``CROWD`` rows share a
+segment's turn numbers, or have none, every different turn is a segment of its
+own and its repetitions are counted. A segment of more than ``SEGMENT`` turns is
+cut, so string positions within one are short and reading the loss mask stays
+linear in the text.
 """
 
 from __future__ import annotations
@@ -25,10 +28,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Turn numbers in a segment.
+from lodestar.llm.store import Scratch
+
+#: Turn numbers, and turns, in a segment.
 SEGMENT = 64
-#: Segments for the turns of a conversation that have no number.
-UNNUMBERED = 1024
+#: Rows that are collected for a segment's turn numbers.
+CROWD = 4096
 
 # The template's control strings.
 BEGIN, SEP = "<s>", "[SEP]"
@@ -70,7 +75,7 @@ def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     ``length`` in code points: exactly the assistant's escaped texts.
 
     Turns go by number, then by role and text; those without a number come
-    first, in an order that their content fixes. Repeated rows are repeated
+    first. Repeated rows are repeated
     turns. A null text or role counts as empty, rows with a null
     ``conv_id`` make one conversation, other columns are not read, and an empty
     table gives no conversations.
@@ -82,17 +87,28 @@ def formatted(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
         F.coalesce(col(role_col).cast("string"), F.lit("")).alias("role"),
         F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    # Turns without a number have no order of their own, so they are dealt to segments by their content.
-    unnumbered = F.when(F.col("turn").isNull(), F.pmod(F.xxhash64("role", "text"), F.lit(UNNUMBERED)))
-    rows = rows.withColumn("segment", F.struct(F.floor(F.col("turn") / SEGMENT).alias("number"), unnumbered.alias("content")))
-    # Sorted turns of a segment, escaped; a turn that follows one of its own role continues its block.
-    sorted_turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    parts = rows.groupBy("conv_id", "segment").agg(sorted_turns.alias("turns"))
-    parts = parts.select("conv_id", "segment", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), escaped(t["text"]).alias("text"))).alias("turns"))
-    whole = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("segment", "turns"))).alias("parts"))
+    rows = rows.withColumn("number", F.floor(F.col("turn") / SEGMENT))
+    crowded = rows.groupBy("conv_id", "number").agg(F.count("*").alias("n")).where((F.col("n") > CROWD) | F.col("number").isNull())
+    crowded = Scratch(turns.sparkSession, "chat").write(crowded.select(F.col("conv_id").alias("of_conv"), F.col("number").alias("of_number")), "crowded")
+    nothing = [F.lit(None).cast(f"{kind}").alias(name) for name, kind in (("turn", "bigint"), ("role", "string"), ("text", "string"))]
+    parts = _plain(rows, nothing)
+    if not crowded.isEmpty():
+        same = F.col("conv_id").eqNullSafe(F.col("of_conv")) & F.col("number").eqNullSafe(F.col("of_number"))
+        counted = rows.join(crowded, same, "left_semi").groupBy("conv_id", "number", "turn", "role", "text").agg(F.count("*").alias("n"))
+        alike = F.array_repeat(F.struct("role", escaped(F.col("text")).alias("text")), F.col("n").cast("int"))
+        parts = _plain(rows.join(crowded, same, "left_anti"), nothing).unionByName(counted.select("conv_id", F.struct("number", "turn", "role", "text").alias("segment"), alike.alias("turns")))
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size("turns") - 1) / SEGMENT).cast("int")), lambda k: F.struct("segment", k.alias("cut"), F.slice("turns", k * SEGMENT + 1, F.lit(SEGMENT)).alias("turns")))
+    whole = parts.groupBy("conv_id").agg(F.array_sort(F.flatten(F.collect_list(cuts))).alias("parts"))
     return whole.select("conv_id", _segments(F.col("parts")).alias("segments"))
 
 
+def _plain(rows: DataFrame, nothing: list[Column]) -> DataFrame:
+    """The sorted turns of segments by turn numbers alone, escaped."""
+    sorted_turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    parts = rows.groupBy("conv_id", "number").agg(sorted_turns.alias("turns"))
+    return parts.select("conv_id", F.struct("number", *nothing).alias("segment"), F.transform("turns", lambda t: F.struct(t["role"].alias("role"), escaped(t["text"]).alias("text"))).alias("turns"))
+
+
 def _segments(parts: Column) -> Column:
     """The text and loss mask of each segment, given its neighbours."""
     last = F.size(parts) - 1

@@ -16,10 +16,10 @@ shuffled, in chunks whose size doesn't depend on the source's.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.store import Scratch
+from lodestar.llm.store import Scratch, partitions, positions
 
 # Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -27,6 +27,8 @@ WEIGHTS = (5, 2, 1)
 TOTAL_SHARE, MOST_COPIES = 1.5, 2
 #: Documents of a chunk, on average.
 CHUNK = 64
+#: Rows alike that one task numbers.
+ALIKE = 4096
 #: White space that parts words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,29 +39,30 @@ def words_in(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """``source, source_size, n, target`` from rows ``source, size``.
+    """``source, source_size, n, target`` from rows ``source, size`` and, if they stand for several, ``alike``.
 
     Targets go by weight, and stop at ``MOST_COPIES`` times the source's size;
-    what they leave is shared again by weight. The outcome is the level at
-    which capped sources, those with the least room for their weight, and the
-    others together have the whole size, so it is found by one pass over the
-    sources in that order. A null source is a source of its own, the last.
+    what they leave is shared again by weight, until no other source stops.
+    Each round is one aggregate of the sources, and their places for the
+    weights come from sorted ranges, so they never come together. A null
+    source is a source of its own, the last.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    rank = F.row_number().over(order) - 1
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(rank, F.lit(len(WEIGHTS))) + 1).cast("int"))
+    scratch = Scratch(sizes.sparkSession, "targets")
+    alike = F.col("alike") if "alike" in sizes.columns else F.lit(1)
+    per = sizes.groupBy("source").agg(F.sum(F.col("size") * alike).cast("bigint").alias("source_size"), F.sum(alike).cast("bigint").alias("n"))
+    per = positions(per, [F.col("source").asc_nulls_last()], scratch, "sources")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod("position", F.lit(len(WEIGHTS))) + 1).cast("int"))
     per = per.withColumn("weight", weight).withColumn("room", F.col("source_size") * MOST_COPIES)
-    ratio = (F.col("room") / F.col("weight")).alias("ratio")
-    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    everything = by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (TOTAL_SHARE * F.sum("source_size").over(everything) - F.coalesce(F.sum("room").over(before), F.lit(0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    # The level counts from the first source that isn't capped at it.
-    levels = per.select("*", ratio).withColumn("level", level).withColumn("place", F.row_number().over(by_ratio))
-    chosen = F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("place", "level"))).over(everything)["level"]
-    target = F.least(F.col("room").cast("double"), F.coalesce(chosen * F.col("weight"), F.col("room").cast("double")))
-    return levels.select("source", "source_size", "n", target.alias("target"))
+    # The level is what a weight of one gets; sources whose room is less stop, which raises it for the others.
+    level, stopped = None, -1
+    while True:
+        stops = F.lit(False) if level is None else F.col("room") < level * F.col("weight")
+        sums = per.agg(F.sum("source_size"), F.sum(F.when(stops, F.col("room"))), F.sum(F.when(~stops, F.col("weight"))), F.count_if(stops)).first()
+        if sums[3] == stopped or not sums[2]:
+            break
+        level, stopped = (TOTAL_SHARE * (sums[0] or 0) - (sums[1] or 0)) / sums[2], sums[3]
+    target = F.least(F.col("room").cast("double"), F.lit(level) * F.col("weight")) if level is not None else F.col("room").cast("double")
+    return per.select("source", "source_size", "n", target.alias("target"))
 
 
 def _uniform(*of: Column) -> Column:
@@ -120,10 +123,14 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     col = lambda name: F.col(f"`{name}`")
     sized = docs.select(col(id_col).alias("doc_id"), col(source_col).cast("string").alias("source"), words_in(col(text_col).cast("string")).alias("size"), row_hash(col(id_col), col(text_col)).alias("row_hash"))
     # Rows that are the same in every respect get numbers, so that a hash spreads them like any others.
-    alike = sized.groupBy("doc_id", "source", "size", "row_hash").agg(F.count("*").alias("alike"))
-    numbered = alike.withColumn("number", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("alike")))).drop("alike")
-    rows = scratch.write(numbered.withColumn("order", F.xxhash64("row_hash", "source", "number")), "rows")
-    shares = scratch.write(targets(rows.select("source", "size")), "targets")
+    alike = scratch.write(sized.groupBy("doc_id", "source", "size", "row_hash").agg(F.count("*").alias("alike")), "alike")
+    upto = lambda first, last: F.explode(F.sequence(first, last))
+    few = alike.where(F.col("alike") <= ALIKE).withColumn("number", upto(F.lit(1).cast("bigint"), F.col("alike")))
+    # Of many, tasks number blocks.
+    blocks = alike.where(F.col("alike") > ALIKE).withColumn("block", upto(F.lit(0).cast("bigint"), F.floor((F.col("alike") - 1) / ALIKE))).repartition(partitions(spark), "row_hash", "block")
+    many = blocks.withColumn("number", upto(F.col("block") * ALIKE + 1, F.least(F.col("alike"), (F.col("block") + 1) * ALIKE))).drop("block")
+    rows = few.unionByName(many).drop("alike").withColumn("order", F.xxhash64("row_hash", "source", "number"))
+    shares = scratch.write(targets(alike.select("source", "size", "alike")), "targets")
     renamed = shares.select(F.col("source").alias("of_source"), "source_size", "n", "target")
     rows = rows.join(renamed, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -180,15 +187,16 @@ def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
         chance = F.pmod(F.xxhash64("row_hash", F.lit("whole")), F.lit(1 << 53)) / F.lit(float(1 << 53))
         part = F.pmod("taken", "size")
         outcome = outcome.withColumn("taken", F.when(part > 0, F.col("taken") - part + F.when(chance * F.col("size") < part, F.col("size")).otherwise(F.lit(0))).otherwise(F.col("taken")))
-    by_row = outcome.groupBy("row_hash").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count("*").alias("n"))
-    by_row = Scratch(docs.sparkSession, "sampled").write(by_row.where("taken > 0"), "taken")
+    by_row = outcome.groupBy("doc_id", "row_hash").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count("*").alias("n"))
+    by_row = Scratch(docs.sparkSession, "sampled").write(by_row.where("taken > 0").withColumnRenamed("doc_id", "of_id").withColumnRenamed("row_hash", "of_row"), "taken")
     text = F.col(f"`{text_col}`")
-    # The row goes along as one struct, so that its columns can have any names.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text.cast("string").alias("text"), row_hash(F.col(f"`{id_col}`"), text).alias("row_hash"))
+    # The row goes along as one struct, so that its columns can have any names. Id and hash together tell it.
+    id_ = F.col(f"`{id_col}`")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), id_.alias("id"), text.cast("string").alias("text"), row_hash(id_, text).alias("row_hash"))
     if not by_row.where("n > 1").isEmpty():
-        rows = rows.dropDuplicates(["row_hash"])
+        rows = rows.dropDuplicates(["id", "row_hash"])
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.pmod("taken", "size").cast("int")), "")
     copies = F.array_repeat("text", F.floor(F.col("taken") / F.col("size")).cast("int"))
     copies = F.when(F.pmod("taken", "size") > 0, F.concat(copies, F.array(part))).otherwise(copies)
-    joined = rows.join(by_row.drop("n"), "row_hash").withColumn("copy", F.explode(copies))
+    joined = rows.join(by_row.drop("n"), (F.col("row_hash") == F.col("of_row")) & F.col("id").eqNullSafe(F.col("of_id"))).withColumn("copy", F.explode(copies))
     return joined.select(*[F.col("copy").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns])

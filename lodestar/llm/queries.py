@@ -126,12 +126,12 @@ m AS (
         length(text) + length(regexp_replace(text, '[^\[<\\]', '', 'g')) AS chars,
         CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 11 WHEN 'assistant' THEN 10
             ELSE 19 + length(role) + length(regexp_replace(role, '[^\[<\\]', '', 'g')) END AS marks
-    FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+    FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 )
 SELECT conv_id, count(*) AS n_turns,
-    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
     CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     CAST(3 + sum(chars + CASE WHEN goes_on THEN 5 ELSE marks END) AS BIGINT) AS formatted_chars
 FROM m GROUP BY conv_id
 """

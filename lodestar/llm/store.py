@@ -1,44 +1,12 @@
-"""Scratch tables in the folder that the whole cluster shares.
-
-An operator that needs an intermediate result twice (global counts before
-encoding, totals before offsets) writes it once as Parquet and reads it back.
-That cuts the lineage, so a lost executor costs one re-read and no recompute,
-and it gives Catalyst the true size of small tables, which is how joins against
-them turn into broadcasts only when they really are small.
-"""
+"""Scratch tables and Arrow batches of this subpackage's operators."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-_roots: list[tuple[SparkSession, str]] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``.
-
-    If the setting is absent a temporary folder serves, but only where driver
-    and executors are one process (master ``local``); a cluster without the
-    setting is an error, since executors would not see the driver's files.
-    """
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not conf.get("spark.master", "").startswith("local[") and conf.get("spark.master", "") != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    for owner, known in _roots:
-        if owner is spark:
-            return known
-    root = "file://" + tempfile.mkdtemp(prefix="lodestar-")
-    _roots.append((spark, root))
-    return root
+from pyspark.sql import SparkSession
 
+from lodestar.plans import stored
+from lodestar.plans.stored import partitions, positions, shared_root
 
 #: Bytes of an Arrow batch between the JVM and Python.
 BATCH_BYTES = "8m"
@@ -49,35 +17,12 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-class Scratch:
-    """A private subfolder of the shared folder; removed when Python exits or on ``drop``."""
+class Scratch(stored.Scratch):
+    """A scratch folder of an operator that sends Arrow batches to Python."""
 
     def __init__(self, spark: SparkSession, label: str):
         bound_batches(spark)
-        self.spark = spark
-        self.path = f"{shared_root(spark).rstrip('/')}/lodestar-{label}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and return the table read back."""
-        path = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str = "") -> None:
-        """Delete one table, or the whole folder."""
-        try:
-            jvm = self.spark._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception as error:  # the session may be gone at exit
-            if name:
-                raise RuntimeError(f"cannot delete scratch table {name}") from error
-
-
-def partitions(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+        super().__init__(spark, label)
 
 
 def rows(batches, size: int):
@@ -90,3 +35,6 @@ def rows(batches, size: int):
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     """A record batch from one sequence for each field of ``schema``."""
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+__all__ = ["Scratch", "batch", "bound_batches", "partitions", "positions", "rows", "shared_root"]

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -360,3 +361,145 @@ def test_mix_of_awkward_rows(docs):
     assert {(r["source_size"], round(r["target"], 6)) for r in got} == {(sizes[s], round(t, 6)) for s, t in plain_targets(sizes).items()}
     assert mixing.sampled(docs).columns == docs.columns
     assert mixing.mixed(docs.limit(0)).collect() == [] and mixing.sampled(docs.limit(0)).collect() == []
+
+
+# Mixing against a plain rounding and against SQL
+
+
+def spark_hash(*values):
+    """XXH64 of values, each seeded with the hash of those before: strings as UTF-8, numbers as 8 bytes, or 4 if marked as short."""
+    seed = 42
+    for v in values:
+        if v is None:
+            continue
+        raw = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def plain_mix(rows, shares, chunk_size):
+    """Words taken of rows ``(doc_id, text, source)``, one pair after the other, given sizes and targets of the sources."""
+    taken = Counter()
+    by_source = defaultdict(list)
+    for n, (doc, text, source) in enumerate(rows):
+        size, row = len(re.findall(r"[^\x20\x09-\x0D]+", text or "")), spark_hash(doc, text)
+        number = 1 + sum(r == (doc, text, source) for r in rows[:n])
+        by_source[source].append((spark_hash(row, source, number), doc, row, size))
+    most = max(-(-len(x) // chunk_size) for x in by_source.values())
+
+    def rounded(items, level):
+        rest, done = None, []
+        for order, key, size, mass in sorted(items):
+            if rest is None:
+                rest = [order, key, size, mass]
+                continue
+            there, back = min(rest[3], size - mass), min(mass, rest[2] - rest[3])
+            u = (spark_hash(rest[0], order, rest[1], key, (level,)) % (1 << 53)) / (1 << 53)
+            if moves := u * (there + back) < back:
+                a, b, settles = rest[3] - there, mass + there, rest[3] <= size - mass
+            else:
+                a, b, settles = rest[3] + back, mass - back, rest[2] - rest[3] <= mass
+            if settles:
+                done.append((rest[1], 0 if moves else rest[2]))
+                rest = [order, key, size, b]
+            else:
+                done.append((key, size if moves else 0))
+                rest[3] = a
+        return done, rest
+
+    for source, members in by_source.items():
+        size, target = shares[source]
+        copies = target / size if size else 0.0
+        chunks = -(-len(members) // chunk_size)
+        dealt = defaultdict(list)
+        for m in members:
+            dealt[spark_hash(m[0], (0,)) % chunks].append(m)
+        open_, words = [], {}
+        for c, ms in dealt.items():
+            ms.sort()
+            items = [(m[0], k, m[3], (copies - int(copies)) * m[3]) for k, m in enumerate(ms)]
+            for k, m in enumerate(ms):
+                words[c, k] = int(copies) * m[3]
+            done, rest = rounded([x for x in items if 0 < x[3] < x[2]], 0)
+            for k, w in done:
+                words[c, k] += w
+            if rest:
+                open_.append((c, rest))
+        place = {c: rest[1] for c, rest in open_}
+        items, level, left = [(r[0], c, r[2], r[3]) for c, r in open_], 0, most
+        while left > 1:
+            level, left = level + 1, -(-left // chunk_size)
+            groups = defaultdict(list)
+            for x in items:
+                groups[x[1] // chunk_size**level].append(x)
+            items = []
+            for g in groups.values():
+                done, rest = rounded(g, level)
+                for c, w in done:
+                    words[c, place[c]] += w
+                items.append(tuple(rest))
+        for x in items:
+            words[x[1], place[x[1]]] += int(x[3] + 0.5)
+        for (c, k), w in words.items():
+            taken[dealt[c][k][1], dealt[c][k][3], w] += 1
+    return taken
+
+
+@pytest.mark.parametrize("chunk_size", [3, 64])
+def test_pivots_equal_a_plain_rounding(spark, monkeypatch, chunk_size):
+    monkeypatch.setattr(mixing, "CHUNK", chunk_size)
+    monkeypatch.setattr(mixing, "ALIKE", 4)
+    rnd = random.Random(11)
+    rows = [(k, " ".join(["w"] * rnd.choice([0, 1, 5, 40, 300])), rnd.choice(["a", "a", "a", "b", "c", None])) for k in range(160)]
+    rows += [(None, None, "b"), (None, "x y z", None)] + [(500, "a row and its copies", "a")] * 60
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    got = mixing.mixed(docs).collect()
+    sources = {doc: source for doc, _, source in rows if doc is not None}
+    shares = {sources[r["doc_id"]]: (r["source_size"], r["target"]) for r in got if r["doc_id"] is not None}
+    assert len(shares) == 4
+    want = plain_mix(rows, shares, chunk_size)
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in got) == want
+
+
+TARGETS = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+p AS (SELECT source, sum(size) AS source_size, 2 * sum(size) AS room, list_element([5, 2, 1], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT) AS weight FROM d GROUP BY source),
+l AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(room) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM p WINDOW w AS (ORDER BY room / weight, source)),
+f AS (SELECT arg_min(level, room / weight) AS level FROM l WHERE room / weight >= level)
+SELECT doc_id, size, source_size, round(least(room, f.level * weight), 6) AS target FROM d JOIN l ON d.source IS NOT DISTINCT FROM l.source, f
+"""
+
+
+def test_sizes_and_targets_equal_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
+    got = mixing.mixed(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    want = con.execute(TARGETS).fetchall()
+    assert sorted((r["doc_id"], r["size"], r["source_size"]) for r in got) == sorted(r[:3] for r in want)
+    targets = {r[0]: r[3] for r in want}
+    assert all(r["target"] == pytest.approx(targets[r["doc_id"]], rel=1e-9) for r in got)
+
+
+# Crowded turns
+
+
+def test_turns_that_share_a_number(spark, monkeypatch):
+    """Many rows of one turn, alike and different, without a number and with clashing neighbours, against a plain template."""
+    monkeypatch.setattr(chat, "CROWD", 10)
+    rnd = random.Random(12)
+    rows = [(1, 5, "user", "again")] * 300 + [(1, 5, "assistant", f"[{rnd.random()}")  for _ in range(90)] + [(1, k, rnd.choice(["user", "assistant"]), f"t{k}") for k in range(70)]
+    rows += [(2, None, rnd.choice(["user", "assistant", "judge"]), rnd.choice(["a", "b", None])) for _ in range(40)] + [(2, 3, "user", "last")] + [(3, 0, "user", "x"), (None, None, None, None)]
+    rnd.shuffle(rows)
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    read = chat.formatted(turns).select("conv_id", chat.text_of(F.col("segments")).alias("text"), chat.loss_texts(F.col("segments")).alias("loss"), chat.turns_of(chat.text_of(F.col("segments"))).alias("turns"))
+    got = {r["conv_id"]: r for r in read.collect()}
+    assert sorted(got, key=str) == [1, 2, 3, None]
+    for conv, r in got.items():
+        own = sorted((t is not None, t or 0, role or "", text or "") for c, t, role, text in rows if c == conv)
+        assert [(t["role"], t["text"]) for t in r["turns"]] == [x[2:] for x in own]
+        assert r["loss"] == [x[3] for x in own if x[2] == "assistant"]
+    monkeypatch.setattr(chat, "CROWD", 4096)
+    assert {r["conv_id"]: r["text"] for r in chat.formatted(turns).select("conv_id", chat.text_of(F.col("segments")).alias("text")).collect()} == {c: r["text"] for c, r in got.items()}

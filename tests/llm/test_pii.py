@@ -74,3 +74,33 @@ def test_tables(docs):
     assert clean.schema == docs.schema and clean.count() == docs.count()
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
     assert texts[3] == "mail <EMAIL> or call <PHONE> now" and texts[7] is None and texts[5] == ""
+
+
+# DuckDB marks each match, and the lengths of the parts between marks give its place.
+BASE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+k AS (SELECT unnest([1, 2, 3, 4]) AS n, unnest(['email', 'ip', 'card', 'phone']) AS kind),
+s AS (SELECT doc_id, n, kind, string_split(CASE n
+    WHEN 1 THEN regexp_replace(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)', chr(1) || '\1' || chr(1), 'g')
+    WHEN 2 THEN regexp_replace(text, '([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)', chr(1) || '\1' || chr(1), 'g')
+    WHEN 3 THEN regexp_replace(text, '([0-9](?:[\x20-]?[0-9])+)', chr(1) || '\1' || chr(1), 'g')
+    ELSE regexp_replace(text, '(\+[0-9][\x20().0-9-]+[0-9])', chr(1) || '\1' || chr(1), 'g') END, chr(1)) AS parts FROM d, k),
+p AS (SELECT doc_id, n, kind, i, parts[i] AS match, list_sum(list_transform(parts[1:i - 1], lambda x: length(x)))::BIGINT AS start FROM (SELECT *, unnest(range(2, len(parts), 2)) AS i FROM s)),
+g AS (SELECT *, regexp_replace(match, '[^0-9]', '', 'g') AS digits FROM p),
+v AS (SELECT * FROM g WHERE n = 1
+    OR n = 2 AND list_max(list_transform(string_split(match, '.'), lambda x: x::HUGEINT)) <= 255
+    OR n = 3 AND length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(length(digits)), lambda j: CASE WHEN j % 2 = 0 THEN substr(digits, length(digits) - j, 1)::INT
+        ELSE substr(digits, length(digits) - j, 1)::INT * 2 - CASE WHEN substr(digits, length(digits) - j, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    OR n = 4 AND length(digits) BETWEEN 8 AND 15)
+SELECT d.doc_id, count(*) FILTER (kind = 'email'), count(*) FILTER (kind = 'ip'), count(*) FILTER (kind = 'card'), count(*) FILTER (kind = 'phone'),
+    sha256(coalesce(string_agg(kind || ':' || start || ':' || (start + length(match)), ',' ORDER BY n, start), '')) FROM d LEFT JOIN v USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+def test_base_spans_equal_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
+    got = span_digests(detected(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))).drop("spans").collect()
+    assert sum(r["n_card"] for r in got) and sorted(map(tuple, got)) == sorted(con.execute(BASE).fetchall())
