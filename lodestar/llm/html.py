@@ -151,15 +151,17 @@ class _Open(list):
     def __init__(self, root: Node):
         super().__init__([root])
         self.names: Counter[str] = Counter()
-        self.lines: list[tuple[int, Counter[str]]] = [(0, Counter())]
+        self.lines: list[list] = [[0, None]]
         self.walls: list[tuple[int, Counter[str]]] = [(0, Counter())]
 
     def push(self, node: Node) -> None:
         name = node.name
         if name in INLINE:
-            self.lines[-1][1][name] += 1
+            line = self.lines[-1]
+            line[1] = line[1] or Counter()
+            line[1][name] += 1
         else:
-            self.lines.append((len(self), Counter()))
+            self.lines.append([len(self), None])
             if name in LISTS or name in SCOPE:
                 self.walls.append((len(self), Counter()))
             if name in ENDED:
@@ -191,7 +193,7 @@ class _Open(list):
     def close(self, name: str) -> None:
         """An end tag; an inline one doesn't reach out of its block, nor that of a paragraph out of a list or table."""
         reach = self.lines[-1][1] if name in INLINE else self.walls[-1][1] if name == "p" else self.names
-        if reach[name]:
+        if reach and reach[name]:
             self.last((name,))
 
     def imply(self, name: str) -> None:
@@ -215,13 +217,13 @@ class _Tags:
 
     def at(self, start: int) -> tuple[bool, str, str, int] | None:
         """Whether it is an end tag, name, attributes and end of the tag at ``start``; None if there is none."""
+        if self.ends is None and (m := _TAG.match(self.page, start)):
+            return bool(m[1]), m[2].lower(), m[3], m.end()
         name = start + 1 + self.page.startswith("/", start + 1)
         first = self.page[name : name + 1]
         if not (first.isascii() and first.isalpha()):
             return None
         if self.ends is None:
-            if m := _TAG.match(self.page, start):
-                return bool(m[1]), m[2].lower(), m[3], m.end()
             self._table()
         if self.name_end < name:
             m = _NAME_ENDS.search(self.page, name)
@@ -264,30 +266,27 @@ def parse(page: str) -> Node:
                 opened[-1].children.append(page[at:])
                 break
             start = more
-        data = None
-        if page.startswith("<!--", start):
-            end = page.find("-->", start + 4)
-            end = end + 3 if end >= 0 else size
-        elif page.startswith("<![CDATA[", start):
-            end = page.find("]]>", start + 9)
-            data = page[start + 9 : end if end >= 0 else size]
-            end = end + 3 if end >= 0 else size
-        elif page.startswith(("<!", "<?"), start):
-            end = page.find(">", start) + 1
-        else:
-            tag = tags.at(start)
-            if tag is None:
-                look = start + 1
-                continue
-            end = tag[3]
+        if page.startswith(("!", "?"), start + 1):
+            if start > at:
+                opened[-1].children.append(page[at:start])
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = look = end + 3 if end >= 0 else size
+            elif page.startswith("<![CDATA[", start):
+                end = page.find("]]>", start + 9)
+                opened[-1].children.append(html.escape(page[start + 9 : end if end >= 0 else size], quote=False))
+                at = look = end + 3 if end >= 0 else size
+            else:
+                at = look = page.find(">", start) + 1
+            continue
+        tag = tags.at(start)
+        if tag is None:
+            look = start + 1
+            continue
         if start > at:
             opened[-1].children.append(page[at:start])
+        closes, name, attributes, end = tag
         at = look = end
-        if data is not None:
-            opened[-1].children.append(html.escape(data, quote=False))
-        if page[start + 1] in "!?":
-            continue
-        closes, name, attributes, _ = tag
         if closes:
             opened.close(name)
             continue
