@@ -8,6 +8,11 @@ to the slots' borders that it would have to cross, which is the order of the
 chance to find a near vector there. Candidates of all tables are merged and
 ranked by the exact cosine of the original vectors.
 
+Most queries of clustered vectors need few buckets. How likely a vector is in the
+buckets visited depends on its cosine alone, whatever the data, so a first round
+of few buckets settles the queries whose k-th cosine is above the one at which
+that is likely enough; the others go on with all buckets.
+
 Buckets are dealt to shards, and a query is sent once to each shard with the
 buckets that it wants to see there. A bucket with a large part of the vectors
 is dealt to several shards by a hash of the vector. A shard's queries go by its
@@ -16,7 +21,7 @@ vectors in groups.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,28 +35,31 @@ from lodestar.llm.store import Scratch, partitions, rows
 SHARD = 20_000
 #: Queries of a shard that are worked off at once.
 GROUP = 1000
+#: The chance to have found a neighbour from which a query needs no more buckets.
+ENOUGH = 0.95
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``tables`` of ``functions`` projections with slots of ``width``; ``probes`` buckets for each table."""
+    """``tables`` of ``functions`` projections with slots of ``width``; ``probes`` buckets for each table, ``first`` of them in the first round."""
 
     tables: int = 20
     functions: int = 14
     width: float = 2.5
     probes: int = 300
+    first: int = 30
     seed: int = 7
 
     @staticmethod
     def for_size(n: int) -> Settings:
-        """Settings for ``n`` vectors: one more function and a hundred more probes for each factor of eight beyond 20,000.
+        """Settings for ``n`` vectors: one more function for each factor of eight beyond 20,000.
 
         The more vectors there are the closer are a query's nearest, and the
         more functions tell these from the others. The README has recall and
         the share of vectors visited up to a million.
         """
         more = max(0, int(np.ceil(np.log2(max(n, 1) / 20_000) / 3)))
-        return Settings(functions=14 + more, probes=300 + 100 * more)
+        return Settings(functions=14 + more)
 
 
 class Hashing:
@@ -94,6 +102,28 @@ class Hashing:
         return np.take_along_axis(keys, np.argsort(costs, axis=1, kind="stable"), 1)
 
 
+def settled_from(settings: Settings, d: int) -> float:
+    """The least of some cosines at which a vector is in the first round's buckets with the chance ``ENOUGH``; 2 if there is none.
+
+    Measured on random pairs of that cosine: projections on Gaussian vectors
+    depend on the angle of a pair alone.
+    """
+    hashing = Hashing(replace(settings, probes=settings.first), d)
+    rng = np.random.default_rng(settings.seed + 1)
+    q, other = (m / _lengths(m)[:, None] for m in rng.normal(size=(2, 300, d)))
+    across = other - (other * q).sum(axis=1, keepdims=True) * q
+    across /= np.maximum(_lengths(across), 1e-300)[:, None]
+    visited = [np.sort(hashing.probes(q, t), axis=1) for t in range(settings.tables)]
+    for cosine in np.arange(0.4, 1.0, 0.025):
+        near = cosine * q + np.sqrt(1 - cosine**2) * across
+        found = np.zeros(len(q), bool)
+        for t, buckets in enumerate(visited):
+            found |= (buckets == hashing.keys(near, t)[:, None]).any(axis=1)
+        if found.mean() >= ENOUGH:
+            return float(cosine)
+    return 2.0
+
+
 def _shard(keys: np.ndarray, chunk: np.ndarray | int, shards: int) -> np.ndarray:
     h = (keys ^ (np.asarray(chunk).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
     return ((h >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
@@ -235,34 +265,45 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, settings: Settings
                 chunk = (rep * 0x9E3779B1 >> 7) % chunks_of(keys)
                 yield pa.RecordBatch.from_arrays([pa.array(_shard(keys, chunk, shards)), pa.array(keys.view(np.int64)), *b.columns], names=["part", "key", "rep", "vec", "ids"])
 
-    def ask(batches):
-        for b in rows(batches, 64):
-            vec = b.column(1).to_pylist()
-            unit = _units(vec, dtype)
-            wanted = np.concatenate([hashing.probes(unit, t) for t in range(settings.tables)], axis=1)
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for rep, v, keys in zip(b.column(0).to_pylist(), vec, wanted, strict=True):
-                chunks = chunks_of(keys)
-                keys = np.repeat(keys, chunks)
-                shard = _shard(keys, np.arange(len(keys)) - np.repeat(np.cumsum(chunks) - chunks, chunks), shards)
-                order = np.argsort(shard, kind="stable")
-                to, starts = np.unique(shard[order], return_index=True)
-                for s, part in zip(to.tolist(), np.split(keys[order].view(np.int64), starts[1:]), strict=True):
-                    for o, x in zip(out, (s, rep, v, part), strict=True):
-                        o.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["part", "query", "vec", "keys"])
-
-    asked = distinct.where("asked")
+    def ask(probes: int):
+        probing = Hashing(replace(settings, probes=probes), max(d, 1))
+
+        def run(batches):
+            for b in rows(batches, 64):
+                vec = b.column(1).to_pylist()
+                unit = _units(vec, dtype)
+                wanted = np.concatenate([probing.probes(unit, t) for t in range(settings.tables)], axis=1)
+                out: tuple[list, list, list, list] = ([], [], [], [])
+                for rep, v, keys in zip(b.column(0).to_pylist(), vec, wanted, strict=True):
+                    chunks = chunks_of(keys)
+                    keys = np.repeat(keys, chunks)
+                    shard = _shard(keys, np.arange(len(keys)) - np.repeat(np.cumsum(chunks) - chunks, chunks), shards)
+                    order = np.argsort(shard, kind="stable")
+                    to, starts = np.unique(shard[order], return_index=True)
+                    for s, part in zip(to.tolist(), np.split(keys[order].view(np.int64), starts[1:]), strict=True):
+                        for o, x in zip(out, (s, rep, v, part), strict=True):
+                            o.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["part", "query", "vec", "keys"])
+
+        return run
+
+    asked = distinct.where("asked").select("rep", "vec")
     members = distinct.select("rep", "vec", "ids").mapInArrow(deal, "part int, key bigint, rep bigint, vec binary, ids array<bigint>")
-    queries = asked.select("rep", "vec").mapInArrow(ask, "part int, query bigint, vec binary, keys array<bigint>")
     search = lambda m, q: walked(m, q, _prepared(dtype), _search(dtype, keep), GROUP, pa.float64(), max(shards, partitions(spark)))
-    found = scratch.write(search(members, queries), "found")
-    near = merged(found, keep)
+    visit = lambda reps, probes: search(members, reps.mapInArrow(ask(probes), "part int, query bigint, vec binary, keys array<bigint>"))
+    near = scratch.write(merged(visit(asked, min(settings.first, settings.probes)), keep), "first")
+    enough = settled_from(settings, max(d, 1))
+    settled = near.where((F.size("near") == keep) & (-F.element_at("near", -1)["far"] >= enough))
+    rest = scratch.write(asked.join(settled.select(F.col("query").alias("rep")), "rep", "left_anti"), "rest")
+    found = near
+    if settings.probes > settings.first and not rest.isEmpty():
+        found = scratch.write(settled.union(merged(visit(rest, settings.probes), keep)), "found")
+    near = found
 
     # Queries that found fewer ids than there are, or than are asked for.
     there = distinct.select(F.size("ids").alias("n")).groupBy().agg(F.sum("n")).first()[0] or 0
     full = near.where(F.size("near") >= min(keep, there)).select("query")
-    short = scratch.write(asked.select(F.col("rep").alias("query"), "vec").join(full, "query", "left_anti"), "short")
+    short = scratch.write(asked.withColumnRenamed("rep", "query").join(full, "query", "left_anti"), "short")
     if not short.isEmpty():
         part = F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("part")
         everything = distinct.select(part, F.lit(0).cast("bigint").alias("key"), "rep", "vec", "ids")

@@ -177,6 +177,23 @@ def test_few_probes_fall_back_to_all_rows(table):
     assert [i for i, _ in got[50]] == [i for i, _ in nearest((unit @ unit[50]).tolist(), range(600), 50)]
 
 
+def test_clustered_vectors_are_settled_in_the_first_round(spark, monkeypatch):
+    g = np.random.default_rng(9)
+    m = np.repeat(g.normal(size=(40, 24)), 25, axis=0) + 0.2 * g.normal(size=(1000, 24))
+    m = np.vstack([m, g.normal(size=(100, 24))])
+    s = ann.Settings()
+    assert ann.settled_from(s, 24) < 0.95 and ann.settled_from(ann.Settings(functions=40, width=0.5), 24) == 2.0
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "vec_id bigint, embedding array<double>").repartition(3)
+    asked = []
+    plain = ann.walked
+    monkeypatch.setattr(ann, "walked", lambda members, queries, *rest: asked.append(queries.select("query").distinct().count()) or plain(members, queries, *rest))
+    got = found(ann.nearest(df, settings=s))
+    assert asked[0] == 22 and asked[1] <= 6  # those outside of clusters go on
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    hits = sum(len({i for i, _ in top} & {i for i, _ in nearest((unit @ unit[q]).tolist(), range(1100), q)}) for q, top in got.items())
+    assert len(got) == 22 and hits >= 0.9 * 5 * 22
+
+
 def test_small_and_empty_tables_of_vectors(spark, table):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (50, [0.0, 2.0])], "vec_id bigint, embedding array<double>")
     assert found(ann.nearest(few)) == {0: [(1, 1.0), (50, 0.0)], 50: [(0, 0.0), (1, 0.0)]}
