@@ -440,3 +440,49 @@ def test_logistic_groups(spark):
         assert [got["intercept_se"], *got["standard_errors"]] == pytest.approx([want.intercept_se, *want.standard_errors], rel=1e-6)
         assert (got["n_samples"], got["iterations"]) == (want.n_samples, want.iterations) and got["pseudo_r_squared"] == pytest.approx(want.pseudo_r_squared)
     assert "both 0 and 1" in rows["c"]["error"] and rows["c"]["coefficients"] is None and "separation" in rows["d"]["error"]
+
+
+# Plans
+
+
+def test_positions_number_all_rows_in_order(spark):
+    from lodestar.plans.stored import Scratch, positions
+
+    values = [(k * 7919) % 1000 for k in range(1000)] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "v int").repartition(7)
+    with Scratch(spark, "test") as scratch:
+        got = positions(df, [df["v"].asc_nulls_last()], scratch, "rows").collect()
+        none = positions(df.limit(0), [df["v"].asc_nulls_last()], scratch, "none").collect()
+    assert none == [] and sorted((r["position"], r["v"]) for r in got) == [(k, k) for k in range(1000)] + [(1000, None)]
+
+
+def test_bootstrap_of_many_clusters_equals_plain_draws(spark):
+    from lodestar.functions import rng
+
+    g = np.random.default_rng(5)
+    n, clusters, draws = 6000, 5000, 50
+    x, cluster = g.normal(size=n), g.permutation(np.arange(n) % clusters)
+    y = 1 + 2 * x + g.normal(size=n)
+    df = spark.createDataFrame([(float(a), float(b), f"c{k:06}") for a, b, k in zip(x, y, cluster, strict=True)], "x double, y double, g string").repartition(6)
+    r = lodestar.linear_regression(df, "x", "y", cluster="g", bootstrap=True, bootstrap_iterations=draws, seed=3)
+    design = np.column_stack([np.ones(n), x])
+    bread = np.linalg.inv(design.T @ design)
+    scores = np.zeros((clusters, 2))
+    np.add.at(scores, cluster, design * (y - design @ (bread @ design.T @ y))[:, None])
+    weights = rng.weights("rademacher", 3, np.arange(draws * clusters)).reshape(draws, clusters)
+    want = (weights @ scores @ bread).std(axis=0, ddof=1)
+    assert [r.intercept_se, *r.standard_errors] == pytest.approx(want.tolist(), rel=1e-9)
+
+
+def test_rows_of_groups_are_not_shuffled(spark):
+    """Coefficients are a small stored table, so even a low threshold broadcasts them to the rows."""
+    df = spark.range(20_000).selectExpr("id % 3 AS g", "double(id % 17) AS x", "double(id % 17 * 2 + id % 5) AS y")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(2 << 20))
+    try:
+        result = lodestar.linear_regression_by(df, "g", "x", "y")
+        assert len(result.collect()) == 3
+        plan = result._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
