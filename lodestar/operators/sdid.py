@@ -13,6 +13,7 @@ from lodestar.functions import rng
 from lodestar.functions.simplex import Solution, frank_wolfe
 from lodestar.operators.results import SyntheticDIDResult
 from lodestar.plans import panel as panels
+from lodestar.plans.tall import TOGETHER, Problem, TallPanel, minimise
 
 # Fixed values of the solver.
 MOST_STEPS, TOLERANCE = 200, 1e-3
@@ -60,6 +61,51 @@ def placebo_effects(spark: SparkSession, found: panels.Panel, places: list[int],
     return {r["place"]: r["effect"] for r in rows.mapInArrow(run, "place bigint, effect double").collect()}
 
 
+def solve_tall(found: TallPanel, places: list[int], pure: bool = False) -> tuple[float, Solution, Solution, np.ndarray, dict[int, float]]:
+    """Like ``solve`` on a panel that stays distributed, with the treated units' distance from their controls before treatment and the effects of placebos."""
+    controls, treated, pre = len(found.control), len(found.treated), len(found.pre)
+    sums, squares = found.products(), found.squares()
+    shared = found.rows.sparkSession.sparkContext.broadcast(sums)
+
+    def spread(row: np.ndarray | None) -> float:
+        """The standard deviation of the controls' outcomes before treatment, without one of them."""
+        n, total, rest = controls * pre, sums[-1, :pre].sum(), squares
+        if row is not None:
+            m = row[:pre].mean()
+            apart = m - (total - row[:pre].sum()) / (n - pre)
+            rest -= ((row[:pre] - m) ** 2).sum() + apart**2 * pre * (n - pre) / n
+            n -= pre
+        return float(np.sqrt(max(rest, 0.0) / (n - 1))) if n > 1 else 0.0
+
+    def times(sums: np.ndarray, row: np.ndarray, ridge: float) -> Solution:
+        own = sums[: pre + 1, : pre + 1] - np.outer(row, row)
+        return frank_wolfe(own[:pre, :pre], own[:pre, pre], ridge, own[pre, pre], MOST_STEPS, TOLERANCE)
+
+    def effect(p: Problem, weights: np.ndarray) -> float:
+        return float(p.target[-1] - p.mean[-1] - weights @ (p.target[:-1] - p.mean[:-1]))
+
+    def run(batches):
+        for b in batches:
+            solved = [times(shared.value, np.array(row), ridge).weights for row, ridge in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(solved, pa.list_(pa.float64()))], names=["place", "weights"])
+
+    own = Problem(found.target, sums[-1, : pre + 1] / controls, controls, controls**0.25 * spread(None))
+    spark, effects = found.rows.sparkSession, {}
+    for start in range(0, max(len(places), 1), TOGETHER):
+        rows = found.of(places[start : start + TOGETHER])
+        spreads = {k: spread(row) for k, row in rows.items()}
+        problems = {k: Problem(row if pure else (treated * found.target + row) / (treated + 1), (sums[-1, : pre + 1] - row) / (controls - 1), controls - 1, (controls - 1) ** 0.25 * spreads[k], k) for k, row in rows.items()}
+        minimise(found, [*([own] if not start else []), *problems.values()], MOST_STEPS, TOLERANCE, constant=True)
+        if problems:
+            tasks = min(len(problems), spark.sparkContext.defaultParallelism)
+            source = spark.createDataFrame([(k, row.tolist(), float(pre**0.25 * spreads[k])) for k, row in rows.items()], "place bigint, row array<double>, ridge double").repartition(tasks)
+            for r in source.mapInArrow(run, "place bigint, weights array<double>").collect():
+                effects[r["place"]] = effect(problems[r["place"]], np.array(r["weights"]))
+    time = times(sums, np.zeros(pre + 1), pre**0.25 * spread(None))
+    unit = Solution(own.weights(controls), own.iterations, own.best_gap, own.met)
+    return effect(own, time.weights), unit, time, own.target[:-1] - own.mean[:-1], effects
+
+
 def synthetic_did(df: DataFrame, unit_col: str, time_col: str, outcome_col: str, treatment_col: str, bootstrap_iterations: int = 200, seed: int | None = None, pure_placebo: bool = False) -> SyntheticDIDResult:
     """The average effect on treated units of a balanced panel.
 
@@ -80,11 +126,17 @@ def synthetic_did(df: DataFrame, unit_col: str, time_col: str, outcome_col: str,
         raise ValueError(f"At least 2 pre-treatment periods required; found {pre}")
     if not len(found.post):
         raise ValueError("No post-treatment periods found")
-    effect, units, times = solve(found.outcomes, found.control, found.treated, found.pre, found.post)
-    gap = found.part(found.treated, found.pre).mean(axis=0) - units.weights @ found.part(found.control, found.pre)
-    error, used = 0.0, 0
-    if bootstrap_iterations:
-        error, used = _placebo_error(df.sparkSession, found, bootstrap_iterations, rng.seed_or_clock(seed), pure_placebo)
+    drawn = Counter(placebo_units(rng.seed_or_clock(seed), bootstrap_iterations, controls).tolist()) if bootstrap_iterations else Counter()
+    if isinstance(found, TallPanel):
+        try:
+            effect, units, times, gap, effects = solve_tall(found, sorted(drawn), pure_placebo)
+        finally:
+            found.drop()
+    else:
+        effect, units, times = solve(found.outcomes, found.control, found.treated, found.pre, found.post)
+        gap = found.part(found.treated, found.pre).mean(axis=0) - units.weights @ found.part(found.control, found.pre)
+        effects = placebo_effects(df.sparkSession, found, sorted(drawn), pure_placebo) if drawn else {}
+    error, used = _placebo_error(effects, drawn) if drawn else (0.0, 0)
     notes = []
     for name, of, weights in (("Unit", "control unit", units.weights), ("Time", "pre-period", times.weights)):
         if weights.max() > CONCENTRATED:
@@ -99,9 +151,8 @@ def synthetic_did(df: DataFrame, unit_col: str, time_col: str, outcome_col: str,
     )
 
 
-def _placebo_error(spark: SparkSession, found: panels.Panel, iterations: int, seed: int, pure: bool) -> tuple[float, int]:
-    times = Counter(placebo_units(seed, iterations, len(found.control)).tolist())
-    effects = placebo_effects(spark, found, sorted(times), pure)
+def _placebo_error(effects: dict[int, float], times: Counter) -> tuple[float, int]:
+    iterations = times.total()
     good = [(e, times[k]) for k, e in effects.items() if np.isfinite(e)]
     used = sum(n for _, n in good)
     if iterations - used > iterations / 2:

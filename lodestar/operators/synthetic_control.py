@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestar.functions.simplex import frank_wolfe, project, solved
 from lodestar.operators.results import SyntheticControlResult
 from lodestar.plans import panel as panels
+from lodestar.plans.tall import TOGETHER, Problem, TallPanel, minimise
 
 METHODS = ("traditional", "penalized", "robust", "augmented")
 # The penalties that are tried, and those used where none is given.
@@ -107,6 +108,23 @@ def placebo_effects(spark: SparkSession, found: panels.Panel, method: str, penal
     return [r["effect"] for r in sorted(rows)]
 
 
+def solve_tall(found: TallPanel, method: str, ridge: float, max_iter: int, tol: float, count: int) -> tuple[np.ndarray, float, float, list[float]]:
+    """Weights, effect, mean squared difference before treatment and effects of ``count`` placebos, from a panel that stays distributed."""
+    controls, pre = len(found.control), len(found.pre)
+    sums = found.products()
+    total = sums[-1, : pre + 1]
+    own, effects = Problem(found.target, total / controls, controls), []
+    for start in range(0, max(count, 1), TOGETHER):
+        rows = found.of(list(range(start, min(start + TOGETHER, count)))) if controls > 1 else {}
+        placebos = [Problem(row, (total - row) / (controls - 1), controls - 1, without=k) for k, row in sorted(rows.items())]
+        minimise(found, [*([own] if not start else []), *placebos], max_iter, tol, centred=method == "robust")
+        effects += [float(p.target[-1] - p.mean[-1]) for p in placebos]
+    effect, apart = float(own.target[-1] - own.mean[-1]), own.target[:-1] - own.mean[:-1]
+    if method == "augmented":
+        effect += float(apart @ solved(sums[:pre, :pre] + ridge * np.eye(pre), sums[:pre, pre]))
+    return own.weights(controls), effect, float((apart**2).mean()), [e for e in effects if np.isfinite(e)]
+
+
 def synthetic_control(
     df: DataFrame, unit_col: str, time_col: str, outcome_col: str, treatment_col: str, method: str = "traditional", lambda_param: float | None = None, compute_se: bool = True, n_placebo: int | None = None, max_iter: int = 1000, tol: float = 1e-6, seed: int | None = None
 ) -> SyntheticControlResult:
@@ -124,19 +142,26 @@ def synthetic_control(
     found = panels.detect(df, unit_col, time_col, outcome_col, treatment_col, "SC")
     _sizes(found, kind)
     controls, pre = len(found.control), len(found.pre)
-    v = view(found.outcomes, found.control, int(found.treated[0]), found.pre, found.post)
-    penalty = selected_penalty(v) if kind == "penalized" and lambda_param is None else lambda_param
-    w = weights(v, kind, penalty, max_iter, tol)
-    effect, ridge = v.effect(w), RIDGE if lambda_param is None else lambda_param
-    if kind == "augmented":
-        effect -= bias(v, w, ridge)
-    error, used, failed = None, None, None
-    if compute_se:
-        count = controls if n_placebo is None else min(n_placebo, controls)
+    penalty, ridge = lambda_param, RIDGE if lambda_param is None else lambda_param
+    count = 0 if not compute_se else controls if n_placebo is None else min(n_placebo, controls)
+    if isinstance(found, TallPanel):
+        try:
+            if kind == "penalized":
+                raise ValueError(f"method 'penalized' takes panels of at most {panels.MOST_CELLS} cells")
+            w, effect, mse, effects = solve_tall(found, kind, ridge, max_iter, tol, count)
+        finally:
+            found.drop()
+    else:
+        v = view(found.outcomes, found.control, int(found.treated[0]), found.pre, found.post)
+        penalty = selected_penalty(v) if kind == "penalized" and lambda_param is None else lambda_param
+        w = weights(v, kind, penalty, max_iter, tol)
+        effect, mse = v.effect(w), v.fit(w)
+        if kind == "augmented":
+            effect -= bias(v, w, ridge)
         effects = placebo_effects(df.sparkSession, found, kind, lambda_param, max_iter, tol, count) if count else []
-        if len(effects) >= 2:
-            error, used, failed = float(np.std(effects, ddof=1)), len(effects), count - len(effects)
-    mse = v.fit(w)
+    error, used, failed = None, None, None
+    if len(effects) >= 2:
+        error, used, failed = float(np.std(effects, ddof=1)), len(effects), count - len(effects)
     notes = []
     if w.max() > CONCENTRATED:
         notes.append(f"Unit weight concentration: control unit at index {int(w.argmax())} has weight {w.max():.2%}. Results may be sensitive to it.")
@@ -150,7 +175,7 @@ def synthetic_control(
     )
 
 
-def _sizes(found: panels.Panel, kind: str) -> None:
+def _sizes(found: panels.Panel | TallPanel, kind: str) -> None:
     treated, controls, pre = len(found.treated), len(found.control), len(found.pre)
     if not treated:
         raise ValueError("No treated units found in data")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.plans.stored import Scratch
+from lodestar.plans.tall import MOST_PERIODS, TallPanel, tall
 
 #: Cells of a panel beyond which it isn't brought to the driver: 400 MB of doubles.
 MOST_CELLS = 50_000_000
@@ -91,11 +92,12 @@ def gram(df: DataFrame, unit_col: str, time_col: str, outcome_col: str) -> DataF
     return both.groupBy("unit_a", "unit_b").agg(F.sum(F.col("y_a") * F.col("y_b")).alias("product"))
 
 
-def detect(df: DataFrame, unit_col: str, time_col: str, outcome_col: str, treatment_col: str, method: str) -> Panel:
+def detect(df: DataFrame, unit_col: str, time_col: str, outcome_col: str, treatment_col: str, method: str) -> Panel | TallPanel:
     """The panel of ``df``. Stricter than a count of rows: every unit has each period once.
 
     ``df`` is read once. The outcomes come to the driver as Arrow arrays, a row
     for each unit; what is broadcast of a panel is bounded by ``MOST_CELLS``, too.
+    A panel with more cells stays distributed, with up to ``MOST_PERIODS`` periods.
     """
     if not {unit_col, time_col, outcome_col, treatment_col} <= set(df.columns):
         check(df, unit_col, time_col, outcome_col, treatment_col, method)
@@ -106,7 +108,9 @@ def detect(df: DataFrame, unit_col: str, time_col: str, outcome_col: str, treatm
         if found["rows"] != expected or found["cells"] != expected or found["nameless"]:
             raise ValueError(f"Panel is not balanced: expected {expected} rows ({found['units']} units × {found['periods']} periods), found {found['rows']}")
         if expected > MOST_CELLS:
-            raise ValueError(f"The panel has {expected} cells; more than {MOST_CELLS} don't fit the driver")
+            if found["periods"] > MOST_PERIODS:
+                raise ValueError(f"The panel has {expected} cells and {found['periods']} periods; panels of more than {MOST_CELLS} cells may have {MOST_PERIODS}")
+            return tall(stored, unit_col, time_col, outcome_col, treatment_col, found["spread"] or 0.0)
         whole = series(stored, unit_col, time_col, outcome_col).join(labels(stored, unit_col, treatment_col), F.col("unit") == F.col("key"))
         units = whole.select("unit", "treated", "outcomes").toArrow()
         periods = sorted((r["key"], r["treated"]) for r in labels(stored, time_col, treatment_col).collect())

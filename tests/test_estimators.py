@@ -12,6 +12,7 @@ from lodestar.functions import linalg, rng, simplex
 from lodestar.operators import sdid, synthetic_control
 from lodestar.operators.logistic import null_likelihood
 from lodestar.plans import moments
+from lodestar.plans import panel as panels
 
 pytestmark = pytest.mark.filterwarnings("ignore::UserWarning")
 
@@ -348,6 +349,54 @@ def test_did_effect_and_placebos(spark):
     assert "SDID" in str(none) and none.to_df(spark).first()["solver_iterations"]["unit"] == 200
 
 
+@pytest.fixture()
+def tall_panels(monkeypatch):
+    """Every panel stays distributed."""
+    monkeypatch.setattr(panels, "MOST_CELLS", 1)
+
+
+@pytest.mark.parametrize("pure", [False, True])
+def test_did_of_a_tall_panel(spark, tall_panels, monkeypatch, pure):
+    monkeypatch.setattr(sdid, "MOST_STEPS", 8)
+    y = did_panel()
+    r = lodestar.synthetic_did(panel(spark, y, {0, 9}, 5, text=True), *ARGS, bootstrap_iterations=12, seed=42, pure_placebo=pure)
+    control, treated, pre, post = np.arange(1, 9), np.array([0, 9]), np.arange(5), np.arange(5, 7)
+    effect, units, times = sdid.solve(y, control, treated, pre, post)
+    assert r.att == pytest.approx(effect) and r.unit_weights == pytest.approx(units.weights) and r.time_weights == pytest.approx(times.weights)
+    assert (r.n_units_control, r.n_units_treated, r.n_periods_pre, r.n_periods_post) == (8, 2, 5, 2)
+    effects = []
+    for k in sdid.placebo_units(42, 12, 8).tolist():
+        own = control[k : k + 1] if pure else np.append(treated, control[k])
+        effects.append(sdid.solve(y, np.delete(control, k), own, pre, post)[0])
+    assert r.standard_error == pytest.approx(np.std(effects, ddof=1)) and r.bootstrap_iterations_used == 12
+
+
+@pytest.mark.parametrize("method", ["traditional", "robust", "augmented"])
+def test_control_of_a_tall_panel(spark, tall_panels, method):
+    g = np.random.default_rng(42)
+    y = 10 + g.uniform(-1, 1, (11, 12)) + 0.5 * np.arange(12)
+    y[4, 8:] += 5
+    r = lodestar.synthetic_control(panel(spark, y, {4}, 8), *ARGS, method=method, max_iter=8, n_placebo=4)
+    control, pre, post = np.delete(np.arange(11), 4), np.arange(8), np.arange(8, 12)
+    v = synthetic_control.view(y, control, 4, pre, post)
+    w = synthetic_control.weights(v, method, None, 8, 1e-6)
+    assert r.unit_weights == pytest.approx(w) and r.pre_treatment_mse == pytest.approx(v.fit(w))
+    assert r.att == pytest.approx(v.effect(w) - (synthetic_control.bias(v, w, 1.0) if method == "augmented" else 0.0))
+    effects = []
+    for k in range(4):
+        p = synthetic_control.view(y, np.delete(control, k), control[k], pre, post)
+        effects.append(p.effect(synthetic_control.weights(p, method, None, 8, 1e-6)))
+    assert r.standard_error == pytest.approx(np.std(effects, ddof=1)) and r.n_placebo_used == 4
+
+
+def test_tall_panels_that_are_refused(spark, tall_panels, monkeypatch):
+    with pytest.raises(ValueError, match="'penalized' takes panels of at most"):
+        lodestar.synthetic_control(panel(spark, simple_panel(), {0}, 4), *ARGS, method="penalized")
+    monkeypatch.setattr(panels, "MOST_PERIODS", 5)
+    with pytest.raises(ValueError, match="and 6 periods"):
+        lodestar.synthetic_did(panel(spark, simple_panel(), {0}, 4), *ARGS)
+
+
 def test_panel_faults(spark):
     from pyspark.sql import functions as F
 
