@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from lodestar.functions import linalg, rng
 from lodestar.plans.moments import Design
-from lodestar.plans.stored import Scratch, positions
+from lodestar.plans.stored import Scratch, numbered, ranges
 
 #: Leverage from which HC3 is refused.
 MOST_LEVERAGE = 0.99
@@ -82,27 +82,28 @@ def request(df: DataFrame, x_cols, y_col, include_intercept, cluster, bootstrap,
 
 
 def scores(design: Design, residual: Column) -> DataFrame:
-    """``g, n, s0, s1, ...``: rows and scores of each cluster."""
-    return design.rows.groupBy("g").agg(F.count("*").alias("n"), *[F.sum(t * residual).alias(f"s{k}") for k, t in enumerate(design.terms)])
+    """``g, n, squares, s0, s1, ...``: rows, squared residuals and scores of each cluster."""
+    return design.rows.groupBy("g").agg(F.count("*").alias("n"), F.sum(residual * residual).alias("squares"), *[F.sum(t * residual).alias(f"s{k}") for k, t in enumerate(design.terms)])
 
 
 @dataclass(frozen=True)
 class Clusters:
-    """What the driver has to know of the clusters: how many, the smallest and largest, and the matrix ``sum S S'``."""
+    """What the driver has to know of the clusters: how many, the smallest and largest, all squared residuals, and the matrix ``sum S S'``."""
 
     count: int
     smallest: int
     largest: int
     largest_name: object
     nulls: int
+    squares: float
     outer: np.ndarray
 
 
 def summary(table: DataFrame, p: int) -> Clusters:
     cells = [F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"o{i}_{j}") for i in range(p) for j in range(i, p)]
-    row = table.agg(F.count("*").alias("count"), F.min("n").alias("low"), F.max("n").alias("high"), F.max_by(F.col("g"), F.col("n")).alias("name"), F.count_if(F.col("g").isNull()).alias("nulls"), *cells).first()
+    row = table.agg(F.count("*").alias("count"), F.min("n").alias("low"), F.max("n").alias("high"), F.max_by(F.col("g"), F.col("n")).alias("name"), F.count_if(F.col("g").isNull()).alias("nulls"), F.sum("squares").alias("squares"), *cells).first()
     outer = linalg.unpacked([np.nan if row[f"o{i}_{j}"] is None else row[f"o{i}_{j}"] for i in range(p) for j in range(i, p)], p)
-    return Clusters(row["count"], row["low"] or 0, row["high"] or 0, row["name"], row["nulls"], outer)
+    return Clusters(row["count"], row["low"] or 0, row["high"] or 0, row["name"], row["nulls"], np.nan if row["squares"] is None else row["squares"], outer)
 
 
 def draws(table: DataFrame, p: int, clusters: int, method: str, seed: int, iterations: int) -> np.ndarray:
@@ -140,9 +141,9 @@ def clustered(ask: Request, design: Design, residual: Column, bread: np.ndarray,
     table = scores(design, residual)
     if ask.bootstrap:
         with Scratch(table.sparkSession, "scores") as scratch:
-            placed = positions(table, [F.col("g")], scratch, "scores")
-            found = _enough(ask, summary(placed, design.size))
-            moved = draws(placed, design.size, found.count, ask.method, rng.seed_or_clock(ask.seed), ask.iterations) @ bread
+            stored = ranges(table, [F.col("g")], scratch, "scores")
+            found = _enough(ask, summary(stored, design.size))
+            moved = draws(numbered(stored), design.size, found.count, ask.method, rng.seed_or_clock(ask.seed), ask.iterations) @ bread
         errors = moved.std(axis=0, ddof=1) if ask.iterations > 1 else np.zeros(design.size)
         return _valid(errors), found, f"bootstrap_{ask.method}"
     found = _enough(ask, summary(table, design.size))

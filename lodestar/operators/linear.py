@@ -42,8 +42,8 @@ def linear_regression(
         squares, errors = _second_pass(design, beta, bread, residual)
         found, kind = None, None
     else:
-        squares = design.collect([F.sum(residual * residual)])[0]
         errors, found, kind = inference.clustered(ask, design, residual, bread, n)
+        squares = found.squares
         inference.advise(ask, found, "Wild cluster")
         if found.largest > n // 2:
             ask.warn(f"Cluster '{found.largest_name}' contains {100 * found.largest / n:.0f}% of observations; standard errors may be unreliable.")

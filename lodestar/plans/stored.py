@@ -76,18 +76,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def positions(df: DataFrame, order: list[Column], scratch: Scratch, name: str) -> DataFrame:
-    """Rows of ``df``, stored, with their ``position`` from 0 in the order of all.
+def ranges(df: DataFrame, order: list[Column], scratch: Scratch, name: str) -> DataFrame:
+    """Rows of ``df``, stored in sorted ranges, with their ``_place``: range and number in it."""
+    number = partitions(df.sparkSession)
+    return scratch.write(df.repartitionByRange(number, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), name)
+
+
+def numbered(stored: DataFrame) -> DataFrame:
+    """Rows of ``ranges`` with their ``position`` from 0 in the order of all.
 
-    Ranges are sorted and numbered in tasks of their own; only the number of
-    rows of each range, a row for each task, is summed up in one.
+    Only the number of rows of each range, a row for each task, is summed up in one task.
     """
-    number = partitions(df.sparkSession)
-    ranges = df.repartitionByRange(number, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
-    stored = scratch.write(ranges, name)
     of = F.shiftright("_place", 33)
     sizes = stored.groupBy(of.alias("_range")).agg(F.count("*").alias("_rows"))
     before = F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_range", before.alias("_before"))  # at most as many rows as ranges
     placed = stored.join(F.broadcast(starts), of == F.col("_range"))
-    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).alias("position"))
+    return placed.select(*[F.col(f"`{c}`") for c in stored.columns if c != "_place"], (F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).alias("position"))
+
+
+def positions(df: DataFrame, order: list[Column], scratch: Scratch, name: str) -> DataFrame:
+    """Rows of ``df``, stored, with their ``position`` from 0 in the order of all."""
+    return numbered(ranges(df, order, scratch, name))
