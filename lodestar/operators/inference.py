@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,9 +81,9 @@ def request(df: DataFrame, x_cols, y_col, include_intercept, cluster, bootstrap,
     return found
 
 
-def scores(design: Design, residual: Column) -> DataFrame:
+def scores(design: Design, residual: str) -> DataFrame:
     """``g, n, squares, s0, s1, ...``: rows, squared residuals and scores of each cluster."""
-    return design.rows.groupBy("g").agg(F.count("*").alias("n"), F.sum(residual * residual).alias("squares"), *[F.sum(t * residual).alias(f"s{k}") for k, t in enumerate(design.terms)])
+    return design.rows.groupBy("g").agg(F.count("*").alias("n"), F.expr(f"sum({residual} * {residual})").alias("squares"), *[F.expr(f"sum({t} * {residual})").alias(f"s{k}") for k, t in enumerate(design.terms)])
 
 
 @dataclass(frozen=True)
@@ -136,7 +136,7 @@ def draws(table: DataFrame, p: int, clusters: int, method: str, seed: int, itera
     return out
 
 
-def clustered(ask: Request, design: Design, residual: Column, bread: np.ndarray, n: int) -> tuple[np.ndarray, Clusters, str]:
+def clustered(ask: Request, design: Design, residual: str, bread: np.ndarray, n: int) -> tuple[np.ndarray, Clusters, str]:
     """Standard errors from cluster scores, analytical or by bootstrap; the kind of them."""
     table = scores(design, residual)
     if ask.bootstrap:

@@ -9,15 +9,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import linalg
 from lodestar.operators import inference
 from lodestar.operators.results import LinearRegressionResult
-from lodestar.plans.moments import Design
+from lodestar.plans.moments import Design, double
 from lodestar.plans.stored import Scratch
 
+#: HC3's weight of a row with residual ``e`` and leverage ``h``.
+WEIGHT = f"case when h < {double(inference.MOST_LEVERAGE)} then e * e / ((1 - h) * (1 - h)) end"
+
 
 def linear_regression(
     df: DataFrame, x_cols: str | list[str], y_col: str, include_intercept: bool = True, cluster: str | None = None, bootstrap: bool = False, bootstrap_iterations: int = 1000, seed: int | None = None, bootstrap_method: str = "rademacher"
@@ -37,7 +40,7 @@ def linear_regression(
         raise ValueError(f"Not enough samples: need at least {design.size} samples for {design.size} parameters")
     bread = linalg.inverse(gram)
     beta = linalg.solution(bread, right)
-    residual = F.col("y") - design.along(beta)
+    residual = f"(y - {design.along(beta)})"
     if cluster is None:
         squares, errors = _second_pass(design, beta, bread, residual)
         found, kind = None, None
@@ -64,10 +67,10 @@ def linear_regression(
 
 def _first_pass(design: Design) -> tuple[int, np.ndarray, np.ndarray, float]:
     """Rows, ``X'X``, ``X'y`` and the sum of squares of ``y`` around its mean."""
-    p, y = design.size, F.col("y")
-    around = [F.count("*"), F.var_pop("y")]
+    p = design.size
+    around = ["count(*)", "var_pop(y)"]
     if design.native:
-        row = design.collect([*around, *design.products(), *[F.sum(t * y) for t in design.terms]])
+        row = design.collect([*around, *design.products(), *[f"sum({t} * y)" for t in design.terms]])
         n, upper, right = int(row[0]), row[2 : 2 + p * (p + 1) // 2], row[2 + p * (p + 1) // 2 :]
         return n, linalg.unpacked(upper, p), np.array(right), n * row[1]
 
@@ -83,15 +86,12 @@ def leverage_refused(count: int, most: float) -> ValueError:
     return ValueError(f"{count} observations have leverage ≥ {inference.MOST_LEVERAGE} (largest {most:.4f}); HC3 standard errors are undefined or unstable")
 
 
-def _second_pass(design: Design, beta: np.ndarray, bread: np.ndarray, residual: Column) -> tuple[float, np.ndarray]:
+def _second_pass(design: Design, beta: np.ndarray, bread: np.ndarray, residual: str) -> tuple[float, np.ndarray]:
     """The sum of squared residuals and HC3 standard errors: zeros for an exact fit."""
     p = design.size
     if design.native:
-        rows = design.rows.select("*", residual.alias("e"), design.form(bread).alias("h"))
-        e, h = F.col("e"), F.col("h")
-        weight = e * e / ((1 - h) * (1 - h))
-        sure = F.when(h < inference.MOST_LEVERAGE, weight)
-        row = design.collect([F.sum(e * e), F.max(F.abs(e)), F.max(h), F.count_if(h >= inference.MOST_LEVERAGE), *design.products(sure)], rows)
+        rows = design.rows.selectExpr("*", f"{residual} as e", f"{design.form(bread)} as h")
+        row = design.collect(["sum(e * e)", "max(abs(e))", "max(h)", f"count_if(h >= {double(inference.MOST_LEVERAGE)})", *design.products(WEIGHT)], rows)
         squares, largest, most, refused, meat = row[0], row[1], row[2], int(row[3]), row[4:]
     else:
 
@@ -126,8 +126,8 @@ def linear_regression_by(df: DataFrame, keys: str | list[str], x_cols: str | lis
     design = Design(df, x_cols, y_col, include_intercept)
     number = lambda c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan")))
     rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keys, names, strict=True)], number(y_col).alias("y"), *[number(c).alias(f"x{k}") for k, c in enumerate(x_cols)])
-    p, terms, y = design.size, design.terms, F.col("y")
-    first = rows.groupBy(*names).agg(F.count("*").alias("n"), (F.var_pop("y") * F.count("*")).alias("spread"), F.array(*design.products()).alias("gram"), F.array(*[F.sum(t * y) for t in terms]).alias("rhs"))
+    p, terms = design.size, design.terms
+    first = rows.groupBy(*names).agg(F.count("*").alias("n"), (F.var_pop("y") * F.count("*")).alias("spread"), F.array(*map(F.expr, design.products())).alias("gram"), F.array(*[F.expr(f"sum({t} * y)") for t in terms]).alias("rhs"))
 
     def solve(batches):
         for b in batches:
@@ -154,11 +154,10 @@ def linear_regression_by(df: DataFrame, keys: str | list[str], x_cols: str | lis
     for n in names:
         same = same & F.col(n).eqNullSafe(F.col(f"f_{n}"))
     joined = rows.join(back, same)
-    e = y - sum((F.col("beta")[k] * t for k, t in enumerate(terms)), F.lit(0.0))
-    h = sum((F.col("bread")[i * p + j] * terms[i] * terms[j] for i in range(p) for j in range(p)), F.lit(0.0))
-    joined = joined.select("*", e.alias("e"), h.alias("h"))
-    weight = F.when(F.col("h") < inference.MOST_LEVERAGE, F.col("e") * F.col("e") / ((1 - F.col("h")) * (1 - F.col("h"))))
-    second = joined.groupBy(*names).agg(F.sum(F.col("e") * F.col("e")).alias("squares"), F.max(F.abs("e")).alias("largest"), F.max("h").alias("most"), F.array(*design.products(weight)).alias("meat"))
+    e = " + ".join(f"beta[{k}] * {t}" for k, t in enumerate(terms))
+    h = " + ".join(f"bread[{i * p + j}] * {terms[i]} * {terms[j]}" for i in range(p) for j in range(p))
+    joined = joined.selectExpr("*", f"y - ({e}) as e", f"{h} as h")
+    second = joined.groupBy(*names).agg(F.sum(F.col("e") * F.col("e")).alias("squares"), F.max(F.abs("e")).alias("largest"), F.max("h").alias("most"), F.array(*map(F.expr, design.products(WEIGHT))).alias("meat"))
     seconds = second.select(*[F.col(n).alias(f"s_{n}") for n in names], "squares", "largest", "most", "meat")
     same = F.lit(True)
     for n in names:

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import linalg
 from lodestar.operators import inference
+from lodestar.operators.linear import WEIGHT
 from lodestar.operators.results import LogisticRegressionResult
-from lodestar.plans.moments import Design
+from lodestar.plans.moments import Design, double
 
 # Fixed values of the iteration.
 MOST_ITERATIONS, HALVINGS = 35, 10
@@ -43,21 +44,25 @@ def probability(eta: Column) -> Column:
     return F.when(eta >= 0, 1 / (1 + small)).otherwise(small / (1 + small))
 
 
+def _probability_sql(eta: str) -> str:
+    small = f"exp(-abs({eta}))"
+    return f"(case when {eta} >= 0 then 1 / (1 + {small}) else {small} / (1 + {small}) end)"
+
+
 def _numpy_probability(eta: np.ndarray) -> np.ndarray:
     small = np.exp(-np.abs(eta))
     return np.where(eta >= 0, 1 / (1 + small), small / (1 + small))
 
 
 def _evaluate(design: Design, beta: np.ndarray) -> State:
-    p, y = design.size, F.col("y")
+    p = design.size
     if design.native:
-        rows = design.rows.select("*", probability(design.along(beta)).alias("p"))
-        pi = F.col("p")
-        sure = F.least(F.greatest(pi, F.lit(CLIP)), F.lit(1 - CLIP))
-        likelihood = F.sum(y * F.log(sure) + (1 - y) * F.log(1 - sure))
-        weight = F.greatest(pi * (1 - pi), F.lit(FLOOR))
-        inside = F.count_if((pi > EXTREME) & (pi < 1 - EXTREME))
-        row = design.collect([likelihood, inside, *[F.sum(t * (y - pi)) for t in design.terms], *design.products(weight)], rows)
+        rows = design.rows.selectExpr("*", f"{design.along(beta)} as eta").selectExpr("*", f"{_probability_sql('eta')} as p")
+        sure = f"least(greatest(p, {double(CLIP)}), {double(1 - CLIP)})"
+        likelihood = f"sum(y * ln({sure}) + (1 - y) * ln(1 - {sure}))"
+        inside = f"count_if(p > {double(EXTREME)} and p < {double(1 - EXTREME)})"
+        weight = f"greatest(p * (1 - p), {double(FLOOR)})"
+        row = design.collect([likelihood, inside, *[f"sum({t} * (y - p))" for t in design.terms], *design.products(weight)], rows)
         return State(beta, row[0], np.array(row[2 : 2 + p]), linalg.unpacked(row[2 + p :], p), row[1] == 0)
 
     def block(x, y_):
@@ -118,7 +123,7 @@ def logistic_regression(
     design = Design(df, ask.x_cols, y_col, include_intercept, cluster)
     design.rows = design.rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n, ones, stray = design.collect([F.count("*"), F.sum("y"), F.count_if(~F.col("y").isin(0.0, 1.0))])
+        n, ones, stray = design.collect(["count(*)", "sum(y)", "count_if(y not in (0D, 1D))"])
         n = int(n)
         if n == 0:
             raise ValueError("Cannot perform regression on empty data")
@@ -131,7 +136,7 @@ def logistic_regression(
         if cluster is None:
             errors = _hc3(design, state.beta, bread)
         else:
-            residual = F.col("y") - probability(design.along(state.beta))
+            residual = f"(y - {_probability_sql(design.along(state.beta))})"
             errors, found, kind = inference.clustered(ask, design, residual, bread, n)
             inference.advise(ask, found, "Score")
     finally:
@@ -157,11 +162,9 @@ def logistic_regression(
 def _hc3(design: Design, beta: np.ndarray, bread: np.ndarray) -> np.ndarray:
     p = design.size
     if design.native:
-        rows = design.rows.select("*", probability(design.along(beta)).alias("p"), design.form(bread).alias("q"))
-        rows = rows.select("*", (F.col("y") - F.col("p")).alias("e"), (F.col("p") * (1 - F.col("p")) * F.col("q")).alias("h"))
-        e, h = F.col("e"), F.col("h")
-        weight = F.when(h < inference.MOST_LEVERAGE, e * e / ((1 - h) * (1 - h)))
-        row = design.collect([F.max(h), *design.products(weight)], rows)
+        rows = design.rows.selectExpr("*", f"{design.along(beta)} as eta").selectExpr("*", f"{_probability_sql('eta')} as p")
+        rows = rows.selectExpr("*", "y - p as e", f"p * (1 - p) * {design.form(bread)} as h")
+        row = design.collect(["max(h)", *design.products(WEIGHT)], rows)
         most, meat = row[0], row[1:]
     else:
 

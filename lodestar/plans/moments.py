@@ -6,6 +6,9 @@ number of entries grows with the square of the columns, and from
 ``NATIVE_COLUMNS`` on blocks of rows go to NumPy as Arrow batches instead: one
 matrix product each. Either way a partition sends one row and only sums reach
 the driver.
+
+Expressions are SQL texts: a matrix of them takes one call of the JVM, where
+columns take a call for each operator, longer than a small job.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Columns of the design up to which entries are aggregates of their own.
@@ -23,6 +26,12 @@ NATIVE_COLUMNS = 5
 NAN = float("nan")
 
 
+def double(value: float) -> str:
+    """A double as SQL, to the last bit."""
+    value = float(value)
+    return f"({value!r}D)" if np.isfinite(value) else f"double('{value}')"
+
+
 class Design:
     """Rows of a regression: ``y``, covariates ``x0, x1, ...`` and, if asked for, the cluster ``g``; all numbers are doubles.
 
@@ -35,44 +44,36 @@ class Design:
         if cluster is not None:
             columns.append(F.col(f"`{cluster}`").alias("g"))
         self.rows = df.select(*columns)
-        self.covariates = [F.col(f"x{k}") for k in range(len(x_cols))]
+        self.covariates = [f"x{k}" for k in range(len(x_cols))]
         self.intercept = intercept
         self.size = len(x_cols) + intercept
 
     @property
-    def terms(self) -> list[Column]:
-        """The design's columns, the intercept first."""
-        return [F.lit(1.0)] * self.intercept + self.covariates
+    def terms(self) -> list[str]:
+        """The design's columns as SQL, the intercept first."""
+        return ["1D"] * self.intercept + self.covariates
 
     @property
     def native(self) -> bool:
         return self.size <= NATIVE_COLUMNS
 
-    def along(self, beta: np.ndarray) -> Column:
+    def along(self, beta: np.ndarray) -> str:
         """The linear predictor."""
-        total = F.lit(float(beta[0])) if self.intercept else F.lit(float(beta[0])) * self.covariates[0]
-        for b, x in zip(beta[1:], self.covariates[not self.intercept :], strict=True):
-            total = total + F.lit(float(b)) * x
-        return total
+        return "(" + " + ".join(f"{double(b)} * {t}" for b, t in zip(beta, self.terms, strict=True)) + ")"
 
-    def form(self, matrix: np.ndarray) -> Column:
+    def form(self, matrix: np.ndarray) -> str:
         """The quadratic form ``x'Mx`` of a symmetric matrix."""
-        total = F.lit(0.0)
         terms = self.terms
-        for i in range(self.size):
-            for j in range(i, self.size):
-                total = total + F.lit(float(matrix[i, j] * (1 if i == j else 2))) * terms[i] * terms[j]
-        return total
+        return "(" + " + ".join(f"{double(matrix[i, j] * (1 if i == j else 2))} * {terms[i]} * {terms[j]}" for i in range(self.size) for j in range(i, self.size)) + ")"
 
-    def products(self, weight: Column | None = None) -> list[Column]:
+    def products(self, weight: str | None = None) -> list[str]:
         """Sums of the upper triangle of ``x x'``, each row weighted."""
-        terms = self.terms
-        of = lambda c: F.sum(c if weight is None else c * weight)
-        return [of(terms[i] * terms[j]) for i in range(self.size) for j in range(i, self.size)]
+        terms, times = self.terms, "" if weight is None else f" * {weight}"
+        return [f"sum({terms[i]} * {terms[j]}{times})" for i in range(self.size) for j in range(i, self.size)]
 
-    def collect(self, sums: list[Column], rows: DataFrame | None = None) -> list[float]:
+    def collect(self, sums: list[str], rows: DataFrame | None = None) -> list[float]:
         """Aggregates of all rows, in one job."""
-        row = (self.rows if rows is None else rows).agg(*[c.alias(f"c{k}") for k, c in enumerate(sums)]).first()
+        row = (self.rows if rows is None else rows).selectExpr(*[f"{c} as c{k}" for k, c in enumerate(sums)]).first()
         return [NAN if v is None else float(v) for v in row]
 
     def blocks(self, block: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], sums: int, maxima: int, rows: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ import warnings
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import linalg, rng
@@ -99,18 +99,18 @@ def leverage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sum of leverages is the number of parameters."""
     design = Design(_lines(spark, sf_dir), ["l_quantity"], "l_extendedprice", True)
     _, gram, _, _ = _first_pass(design)
-    h = design.form(linalg.inverse(gram))
+    h = F.expr(design.form(linalg.inverse(gram)))
     return design.rows.agg(F.round(F.max(h), 10).alias("max_leverage"), F.round(F.sum(h), 6).alias("sum_leverage"))
 
 
 # Clusters
 
 
-def _clustered_design(spark: SparkSession, sf_dir: str) -> tuple[Design, np.ndarray, Column]:
+def _clustered_design(spark: SparkSession, sf_dir: str) -> tuple[Design, np.ndarray, str]:
     design = Design(_lines(spark, sf_dir), ["l_quantity"], "l_extendedprice", True, "l_suppkey")
     _, gram, right, _ = _first_pass(design)
     bread = linalg.inverse(gram)
-    return design, bread, F.col("y") - design.along(linalg.solution(bread, right))
+    return design, bread, f"(y - {design.along(linalg.solution(bread, right))})"
 
 
 def cluster_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
