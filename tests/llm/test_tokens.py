@@ -1,13 +1,16 @@
 """Ids, Huffman files and packing against the tokenizers library and exact round trips."""
 
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from lodestar.llm import tokens
 from lodestar.llm.huffman import canonical_codes, code_lengths, decode, decoding_table, pack_bits, read_encoded, write_encoded
 from lodestar.llm.packing import packed, sequences
 from lodestar.llm.queries import tokenizer_path
@@ -33,6 +36,38 @@ def test_word_table_equals_library(text):
     assert e.text(text) == e.whole(text)
 
 
+def test_new_words_take_few_calls():
+    """Thousands of new words must not mean a call for each: these were most of the time of op2 and op5."""
+    text, calls = " ".join(f"{a}{b}q{c}{'.,!'[c == 'b']}" for a in "abcdefghij" for b in "klmnopqrst" for c in "abcdefghijklmnopqrst"), []
+    e = Encoder(tokenizer_path())
+    sys.setprofile(lambda frame, event, arg: calls.append(1) if event in ("call", "c_call") else None)
+    try:
+        got = e.text(text)
+    finally:
+        sys.setprofile(None)
+    assert got == e.whole(text)
+    assert len(text.split()) == 2000 and len(calls) < 1000
+
+
+def test_columns_equal_library_when_the_table_starts_afresh(monkeypatch):
+    for name, value in (("TABLE_ENTRIES", 40), ("LONGEST_KEPT", 6), ("PIECES", 7)):
+        monkeypatch.setattr(tokens, name, value)
+    e = Encoder(tokenizer_path())
+    end = np.array([END], e.dtype).tobytes()
+    assert e.texts(pa.array([], pa.string()), end).to_pylist() == []
+    for k in range(30):
+        texts = [None, "", " \t", f"w{k}x, rare{k}é!! don't: «{k}»… 中{k}, Straße_{k}", f"<|endoftext|> {k}", "a</w>b </w>", f"longer-than-kept-{k} " * 3]
+        assert e.texts(pa.array(texts, pa.string()), end).to_pylist() == [e.whole(t or "") + end for t in texts]
+        assert len(e.known) <= 40
+    assert e.texts(pa.array(["left out", "a b!", "c"])[1:], end).to_pylist() == [e.whole(t) + end for t in ("a b!", "c")]
+
+
+def test_marks_are_composed_before_lower_case():
+    e = Encoder(tokenizer_path())
+    text = "T\u0308a H\u0331. E\u0301t W\u030a"  # t with these marks is one character, T is not
+    assert e.text(text) == e.whole(text)
+
+
 def test_added_tokens_in_texts():
     e = Encoder(tokenizer_path())
     text = "ab <|endoftext|> c<|startoftext|>d"
