@@ -3,6 +3,10 @@
 Each evaluation is one pass over the cached rows, which gives log-likelihood,
 gradient and information matrix together: an accepted step's evaluation is what
 the next step starts from.
+
+Sums of many rows carry rounding errors that fixed limits on the gradient and
+the likelihood fall below, so steps also end by their length in standard errors,
+and a likelihood that is lower by less than such errors doesn't halve a step.
 """
 
 from __future__ import annotations
@@ -25,6 +29,12 @@ MOST_ITERATIONS, HALVINGS = 35, 10
 GRADIENT, STALLED, SLACK = 1e-8, 1e-6, 1e-8
 FLOOR, CLIP = 1e-10, 1e-15
 MOST_COEFFICIENT, EXTREME = 20.0, 1e-7
+#: Share of the likelihood that rounding can move: up to half a unit in the last place for each row that a task adds.
+ROUNDING = 1e-9
+#: Squared length of a step in standard errors that is none, and the one from which a step that doesn't halve it finds rounding errors only.
+SHORT, NEAR = 1e-18, 1e-10
+#: Change of a row's log-odds above which no step is too short: rows that part the outcomes drift on with little weight.
+STILL = 1e-6
 
 
 @dataclass(frozen=True)
@@ -54,6 +64,22 @@ def _numpy_probability(eta: np.ndarray) -> np.ndarray:
     return np.where(eta >= 0, 1 / (1 + small), small / (1 + small))
 
 
+def no_worse(found: float, before: float) -> bool:
+    """Whether a step to likelihood ``found`` is taken; never for NaN."""
+    return found >= before - SLACK - ROUNDING * abs(before)
+
+
+def settled(gradient: np.ndarray, direction: np.ndarray, reach: np.ndarray, before: float) -> bool:
+    """Whether Newton's next step is too short to matter.
+
+    Its squared length in standard errors is ``g'H^-1 g``; ``before`` is that of
+    the last step if it was a whole one, else infinite. ``reach`` has the largest
+    absolute value of each column of the design.
+    """
+    length = float(gradient @ direction)
+    return bool(np.abs(direction) @ reach <= STILL) and (length <= SHORT or before <= NEAR and length > before / 2)
+
+
 def _evaluate(design: Design, beta: np.ndarray) -> State:
     p = design.size
     if design.native:
@@ -77,9 +103,9 @@ def _evaluate(design: Design, beta: np.ndarray) -> State:
     return State(beta, sums[0], sums[2 : 2 + p], linalg.unpacked(sums[2 + p :], p), sums[1] == 0)
 
 
-def _maximise(design: Design) -> tuple[State, int, np.ndarray]:
+def _maximise(design: Design, reach: np.ndarray) -> tuple[State, int, np.ndarray]:
     """The maximum, the gradients that it took and the inverse information."""
-    state = _evaluate(design, np.zeros(design.size))
+    state, before = _evaluate(design, np.zeros(design.size)), np.inf
     for count in range(1, MOST_ITERATIONS + 1):
         if np.abs(state.beta).max() > MOST_COEFFICIENT or state.separated:
             raise ValueError("Perfect separation detected; the maximum likelihood estimate does not exist")
@@ -92,22 +118,25 @@ def _maximise(design: Design) -> tuple[State, int, np.ndarray]:
         if linalg.ill_conditioned(state.information):
             raise ValueError(singular)
         bread = linalg.inverse(state.information, singular)
-        following = _step(design, state, bread @ state.gradient)
+        direction = bread @ state.gradient
+        if settled(state.gradient, direction, reach, before):
+            return state, count, bread
+        following, half = _step(design, state, direction)
         if following is None:
             if steepness < STALLED:
                 return state, count, bread
             raise ValueError(f"Convergence failed after {count} iterations")
-        state = following
+        state, before = following, np.inf if half else float(state.gradient @ direction)
     raise ValueError(f"Convergence failed after {MOST_ITERATIONS} iterations")
 
 
-def _step(design: Design, state: State, direction: np.ndarray) -> State | None:
-    """The first of the halved steps that doesn't lower the likelihood, or the last that has one."""
+def _step(design: Design, state: State, direction: np.ndarray) -> tuple[State | None, int]:
+    """The first of the halved steps that doesn't lower the likelihood, or the last that has one; and how often it was halved."""
     for half in range(HALVINGS):
         found = _evaluate(design, state.beta + 0.5**half * direction)
-        if found.likelihood >= state.likelihood - SLACK or half == HALVINGS - 1 and not np.isnan(found.likelihood):
-            return found
-    return None
+        if no_worse(found.likelihood, state.likelihood) or half == HALVINGS - 1 and not np.isnan(found.likelihood):
+            return found, half
+    return None, HALVINGS
 
 
 def null_likelihood(n: int, ones: float) -> float:
@@ -123,7 +152,7 @@ def logistic_regression(
     design = Design(df, ask.x_cols, y_col, include_intercept, cluster)
     design.rows = design.rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n, ones, stray = design.collect(["count(*)", "sum(y)", "count_if(y not in (0D, 1D))"])
+        n, ones, stray, *reach = design.collect(["count(*)", "sum(y)", "count_if(y not in (0D, 1D))", *[f"max(abs({t}))" for t in design.terms]])
         n = int(n)
         if n == 0:
             raise ValueError("Cannot perform regression on empty data")
@@ -131,7 +160,7 @@ def logistic_regression(
             raise ValueError("y_col must contain only 0 and 1 values")
         if ones in (0, n):
             raise ValueError("y_col must contain both 0 and 1 values")
-        state, count, bread = _maximise(design)
+        state, count, bread = _maximise(design, np.array(reach))
         found, kind = None, None
         if cluster is None:
             errors = _hc3(design, state.beta, bread)

@@ -20,7 +20,7 @@ from lodestar.operators import logistic as one
 from lodestar.plans.moments import NAN
 from lodestar.plans.stored import Scratch
 
-_STATE = "n bigint, ones double, beta array<double>, likelihood double, gradient array<double>, info array<double>, candidate array<double>, direction array<double>, step double, halvings int, steps bigint, error string"
+_STATE = "n bigint, ones double, reach array<double>, beta array<double>, likelihood double, gradient array<double>, info array<double>, candidate array<double>, direction array<double>, step double, halvings int, steps bigint, error string"
 
 
 def _same(names: list[str], other: str) -> Column:
@@ -32,15 +32,16 @@ def _same(names: list[str], other: str) -> Column:
 
 def _advance(row: dict, p: int) -> dict:
     """One group's state after its candidate has been evaluated."""
-    state = {k: row[k] for k in ("n", "ones", "beta", "likelihood", "gradient", "info", "candidate", "direction", "step", "halvings", "steps", "error")}
+    state = {k: row[k] for k in ("n", "ones", "reach", "beta", "likelihood", "gradient", "info", "candidate", "direction", "step", "halvings", "steps", "error")}
     first, found = state["beta"] is None, row["new_likelihood"]
-    if not first and not (found >= state["likelihood"] - one.SLACK or state["halvings"] == one.HALVINGS - 1 and not np.isnan(found)):
+    if not first and not (one.no_worse(found, state["likelihood"]) or state["halvings"] == one.HALVINGS - 1 and not np.isnan(found)):
         state["halvings"] += 1
         if state["halvings"] >= one.HALVINGS:
             stalled = np.linalg.norm(state["gradient"]) < one.STALLED
             return state | {"direction": None, "error": None if stalled else f"Convergence failed after {state['steps']} iterations"}
         step = state["step"] / 2
         return state | {"step": step, "candidate": (np.array(state["beta"]) + step * np.array(state["direction"])).tolist()}
+    before = np.inf if first or state["halvings"] else float(np.dot(state["gradient"], state["direction"]))
     beta, gradient = np.array(state["candidate"]), np.array(row["new_gradient"])
     information = linalg.unpacked(row["new_info"], p)
     state |= {"beta": beta.tolist(), "likelihood": found, "gradient": gradient.tolist(), "info": row["new_info"], "halvings": 0, "step": 1.0, "steps": state["steps"] + 1, "direction": None}
@@ -55,9 +56,11 @@ def _advance(row: dict, p: int) -> dict:
             return state
         if linalg.ill_conditioned(information):
             raise ValueError(singular)
+        direction = linalg.inverse(information, singular) @ gradient
+        if one.settled(gradient, direction, np.array(state["reach"]), before):
+            return state
         if state["steps"] >= one.MOST_ITERATIONS:
             raise ValueError(f"Convergence failed after {one.MOST_ITERATIONS} iterations")
-        direction = linalg.inverse(information, singular) @ gradient
     except ValueError as e:
         return state | {"error": str(e)}
     return state | {"direction": direction.tolist(), "candidate": (beta + direction).tolist()}
@@ -78,11 +81,11 @@ def logistic_regression_by(df: DataFrame, keys: str | list[str], x_cols: str | l
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     try:
         fault = F.when(F.col("stray") > 0, "y_col must contain only 0 and 1 values").when((F.col("ones") == 0) | (F.col("ones") == F.col("n")), "y_col must contain both 0 and 1 values")
-        counted = rows.groupBy(*names).agg(F.count("*").alias("n"), F.sum("y").alias("ones"), F.count_if(~F.col("y").isin(0.0, 1.0)).alias("stray"))
+        counted = rows.groupBy(*names).agg(F.count("*").alias("n"), F.sum("y").alias("ones"), F.count_if(~F.col("y").isin(0.0, 1.0)).alias("stray"), F.array(*[F.max(F.abs(t)) for t in terms]).alias("reach"))
         null = lambda kind: F.lit(None).cast(kind)
         zero = F.array_repeat(F.lit(0.0), p)
         start = counted.select(
-            *names, "n", "ones", null("array<double>").alias("beta"), null("double").alias("likelihood"), null("array<double>").alias("gradient"), null("array<double>").alias("info"), zero.alias("candidate"), zero.alias("direction"), F.lit(1.0).alias("step"), F.lit(0).alias("halvings"), F.lit(0).cast("bigint").alias("steps"), fault.alias("error")
+            *names, "n", "ones", "reach", null("array<double>").alias("beta"), null("double").alias("likelihood"), null("array<double>").alias("gradient"), null("array<double>").alias("info"), zero.alias("candidate"), zero.alias("direction"), F.lit(1.0).alias("step"), F.lit(0).alias("halvings"), F.lit(0).cast("bigint").alias("steps"), fault.alias("error")
         )
         # What has been evaluated is stored, so the table that a step reads stays until the end.
         scratch, step = Scratch(df.sparkSession, "logistic"), 0
@@ -125,7 +128,7 @@ def _evaluated(rows: DataFrame, state: DataFrame, names: list[str], terms: list[
         for b in batches:
             made = [_advance(r, p) for r in b.to_pylist()]
             numbers = pa.list_(pa.float64())
-            types = {"n": pa.int64(), "ones": pa.float64(), "beta": numbers, "likelihood": pa.float64(), "gradient": numbers, "info": numbers, "candidate": numbers, "direction": numbers, "step": pa.float64(), "halvings": pa.int32(), "steps": pa.int64(), "error": pa.string()}
+            types = {"n": pa.int64(), "ones": pa.float64(), "reach": numbers, "beta": numbers, "likelihood": pa.float64(), "gradient": numbers, "info": numbers, "candidate": numbers, "direction": numbers, "step": pa.float64(), "halvings": pa.int32(), "steps": pa.int64(), "error": pa.string()}
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *(pa.array([m[c] for m in made], t) for c, t in types.items())], names=[*names, *types])
 
     return both.mapInArrow(advance, f"{kinds}, {_STATE}")

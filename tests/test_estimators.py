@@ -491,6 +491,44 @@ def test_logistic_groups(spark):
     assert "both 0 and 1" in rows["c"]["error"] and rows["c"]["coefficients"] is None and "separation" in rows["d"]["error"]
 
 
+def test_logistic_ends_at_rounding_errors(spark):
+    """Covariates 2^30 times as large scale the gradient and its rounding errors, beyond any fixed limit; the fit is the same."""
+    g = np.random.default_rng(9)
+    k, x, scale = np.repeat(["a", "b"], 200), g.normal(size=400), 2.0**30
+    d = (g.uniform(size=400) < 1 / (1 + np.exp(-x))).astype(float)
+    df = frame(spark, k=k, x=x, z=x * scale, d=d)
+    want, got = (lodestar.logistic_regression(df, c, "d", include_intercept=False) for c in "xz")
+    assert [got.coefficients[0] * scale, got.standard_errors[0] * scale, got.log_likelihood] == pytest.approx([want.coefficients[0], want.standard_errors[0], want.log_likelihood], rel=1e-9)
+    assert got.iterations <= want.iterations + 2
+    plain, large = ({r["k"]: r for r in lodestar.logistic_regression_by(df, "k", c, "d", include_intercept=False).collect()} for c in "xz")
+    for name in "ab":
+        assert plain[name]["error"] is None and large[name]["error"] is None
+        assert [v * scale for v in (*large[name]["coefficients"], *large[name]["standard_errors"])] == pytest.approx([*plain[name]["coefficients"], *plain[name]["standard_errors"]], rel=1e-9)
+        assert large[name]["iterations"] <= plain[name]["iterations"] + 2
+
+
+def test_rows_that_drift_apart_are_no_fit(spark):
+    """Where one level of a covariate has one outcome only, steps get short as weights vanish."""
+    g = np.random.default_rng(4)
+    x = np.repeat([0.0, 1e4], [60, 5])
+    d = np.where(x > 0, 1.0, g.integers(0, 2, 65))
+    with pytest.raises(ValueError, match="Convergence failed"):
+        lodestar.logistic_regression(frame(spark, x=x, d=d), "x", "d")
+    (row,) = lodestar.logistic_regression_by(frame(spark, k=["a"] * 65, x=x, d=d), "k", "x", "d").collect()
+    assert "Convergence failed" in row["error"] and row["coefficients"] is None
+
+
+@pytest.mark.parametrize(("lower", "before", "length", "halvings", "ends"), [(1.5e-6, 1e-8, 1e-14, 0, False), (1.5e-6, 1e-13, 1e-19, 0, True), (1.5e-6, 1e-15, 1e-15, 0, True), (1.0, 1e-8, 1e-14, 1, False)])
+def test_steps_of_many_rows_end_at_rounding_errors(lower, before, length, halvings, ends):
+    """Values of 9 million rows: a likelihood that is lower in its last digits, the last and the next step's squared lengths in standard errors."""
+    from lodestar.operators.logistic_by import _advance
+
+    state = {"n": 9039600, "ones": 1.8e6, "reach": [1.0], "beta": [-1.36], "likelihood": -4508846.125020924, "gradient": [before / 1e-7], "info": [1.4e6], "candidate": [-1.3599999], "direction": [1e-7], "step": 1.0, "halvings": 0, "steps": 5, "error": None}
+    row = state | {"new_likelihood": state["likelihood"] - lower, "inside": 9039600, "new_gradient": [float(np.sqrt(length * 1.4e6))], "new_info": [1.4e6]}
+    after = _advance(row, 1)
+    assert (after["halvings"], after["direction"] is None, after["error"]) == (halvings, ends, None)
+
+
 # Plans
 
 
